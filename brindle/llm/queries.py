@@ -5,22 +5,78 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, remainder
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .language_model import lm_scores
+from .media import media_columns
+from .mixing import mix_sources
+from .packing import pack
+from .quality import quality_scores
+from .secrets import find_secrets
 from .simhash import simhash_components
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, documents(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    learn = docs.where(remainder(4) != 2)
+    out = language_id(spark, docs.withColumn("held_out", remainder(4) == 2), learn, keep=("held_out",))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix_sources(spark, documents(spark, sf_dir)).taken()
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir)).drop("found")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark, documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", remainder(10) == 0)
+    return lm_scores(spark, docs, docs.where("not held_out"), keep=("held_out",))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
+def labelled_documents(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, text, quality): documents with labels, but for the fold held out."""
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return docs.select("doc_id", "text").where(remainder(3) != 1).join(labels, "doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = quality_scores(spark, docs.withColumn("held_out", remainder(3) == 1), labelled_documents(docs, sf_dir), keep=("held_out",))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
+    "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_media": op8_media,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
