@@ -41,7 +41,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         groups = split.groupBy("gid", "digit").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where("n > 1")
         groups = scratch.save(groups.withColumn("next", F.monotonically_increasing_id()), f"groups{level}")
         goes_on = F.col("n").isNotNull() & (F.length("digit") == width)
-        moved = split.join(groups, ["gid", "digit"], "left").select(
+        moved = split.join(groups.hint("merge"), ["gid", "digit"], "left").select(
             "id",
             "sha",
             F.col("next").alias("gid"),
