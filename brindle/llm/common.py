@@ -61,6 +61,13 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """Bucketed by key: joins on it leave this table where it is."""
+        table = f"brindle_{name}_{uuid.uuid4().hex}"
+        writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.base}/{name}")
+        writer.bucketBy(n, key).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)

@@ -92,9 +92,12 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labelled: DataFrame, id
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            score = np.concatenate([np.zeros(0)] + [m.scores(c) for c in blocks(batch.column(batch.num_columns - 1), SIZES, False)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
-
-    src = docs.select(F.col(id_col), *keep, F.col("text").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+            names = batch.schema.names
+            score = np.concatenate([np.zeros(0)] + [m.scores(c) for c in blocks(batch.column(names.index("text")), SIZES, False)])
+            new = {c: batch.column(k) for k, c in enumerate(names) if c != "text" or "text" in keep}
+            new |= {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(list(new.values()), list(new))
+
+    src = docs.select(F.col(id_col), *keep, *(() if "text" in keep else ("text",)))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text" or "text" in keep)
     return src.mapInArrow(predict, f"{kept}, score double, predicted int")

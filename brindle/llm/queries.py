@@ -15,10 +15,15 @@ from .media import media_columns
 from .mixing import mix_sources
 from .packing import pack
 from .quality import quality_scores
+from .repeats import remove_repeats
 from .secrets import find_secrets
 from .simhash import simhash_components
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
