@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import collections, filters, texts  # noqa: F401
+from . import analytics, collections, filters, texts  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
