@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .ngrams import BUCKETS, blocks, counts_of, sample
+from .ngrams import BUCKETS, blocks, counts_of, in_order, sample
 
 SIZES = (2, 3, 4)
 
@@ -92,7 +92,7 @@ def language_id(spark: SparkSession, docs: DataFrame, learn_from: DataFrame, id_
     text is null or has no letter; else one of the learned values. Long and short texts count whole.
     """
     bound_batches(spark)
-    rows = sample(learn_from.where("lang is not null and text is not null"), "lang", per_label, id_col)
+    rows = in_order(sample(learn_from.where("lang is not null and text is not null"), "lang", per_label, id_col).select("text", "lang").collect())
     model = fit([r[0] for r in rows], [r[1] for r in rows])
     shared = spark.sparkContext.broadcast(model)
 

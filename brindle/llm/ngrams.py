@@ -53,20 +53,23 @@ def blocks(column: pa.Array, sizes: tuple[int, ...], fold: bool) -> Iterator[np.
             yield ngram_counts(data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k], sizes, fold)
 
 
-def sample(rows: DataFrame, label: str, per_label: int, id_col: str = "doc_id") -> list:
-    """About per_label rows of each label at most, chosen by a hash of the id; columns text and label.
+def sample(rows: DataFrame, label: str, per_label: int, id_col: str = "doc_id") -> DataFrame:
+    """About per_label rows of each label at most, chosen by a hash of the id.
 
-    Reads label counts first, so the number of rows that come to the driver is bounded by labels x per_label.
+    Label counts come first, so labels x per_label bounds what is chosen, whatever the table's size.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return []
     if len(counts) > 1000:
         raise ValueError(f"{label} has {len(counts)} values; at most 1000 are meant")
-    rate = F.coalesce(*(F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_label / n))) for k, n in counts.items()))
+    rates = [F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_label / n))) for k, n in counts.items()]
+    rate = F.coalesce(*rates, F.lit(0.0))
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.where(part < rate).select("text", label).collect()
-    return sorted(chosen, key=lambda r: (str(r[1]), r[0] or ""))
+    return rows.where(part < rate)
+
+
+def in_order(rows: list) -> list:
+    """Collected (text, label) rows in an order that doesn't depend on partitions."""
+    return sorted(rows, key=lambda r: (str(r[1]), r[0] or ""))
 
 
 def counts_of(texts: list[str | None], sizes: tuple[int, ...], fold: bool) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .ngrams import BUCKETS, blocks, counts_of, sample
+from .ngrams import BUCKETS, blocks, counts_of, in_order, sample
 
 SIZES = (1, 2, 3)
 
@@ -76,16 +76,19 @@ def fit(texts: list[str | None], labels: list[int], prior: float, dim: int = 48,
     return model
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", per_label: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_label: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, the columns of keep, score (0 to 1, higher: label 1 likelier), predicted.
 
-    labelled has text and quality (0 or 1; null rows are left out). Null and empty texts are scored
-    like others: as a text of a single blank. Without labelled rows every score is 0.5.
+    labels has id and quality (0 or 1; other rows are left out), for rows of docs that the model may learn
+    from. The sample is drawn from the labels, so the documents' texts meet at most 2 x per_label broadcast
+    ids and are never shuffled. Null and empty texts are scored like others: as a text of a single blank.
+    Without labelled rows every score is 0.5.
     """
     bound_batches(spark)
-    usable = labelled.where("quality in (0, 1)")
+    usable = labels.where("quality in (0, 1)").select(id_col, "quality")
     share = usable.agg(F.avg("quality")).first()[0]
-    rows = sample(usable, "quality", per_label, id_col)
+    chosen = sample(usable, "quality", per_label, id_col)
+    rows = in_order(docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("text", "quality").collect())
     model = fit([r[0] for r in rows], [r[1] for r in rows], 0.5 if share is None else float(share))
     shared = spark.sparkContext.broadcast(model)
 

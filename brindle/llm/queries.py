@@ -57,15 +57,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
-def labelled_documents(docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, text, quality): documents with labels, but for the fold held out."""
-    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return docs.select("doc_id", "text").where(remainder(3) != 1).join(labels, "doc_id")
+def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, quality) of the labels that aren't held out."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(3) != 1).select("doc_id", "quality")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = quality_scores(spark, docs.withColumn("held_out", remainder(3) == 1), labelled_documents(docs, sf_dir), keep=("held_out",))
+    out = quality_scores(spark, docs.withColumn("held_out", remainder(3) == 1), learnable_labels(spark, sf_dir), keep=("held_out",))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
