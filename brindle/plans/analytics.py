@@ -112,8 +112,12 @@ def release_gate(spark, sf):
 
 @query("bootstrap_bound")
 def bootstrap_bound(spark, sf):
-    """Lower bound of the mean paired difference, resampled with the seeded generator. Stories of an evaluation are a few hundred; their means come to the driver."""
-    values = [r.delta for r in stats.story_deltas(evaluation(spark, sf)).orderBy("story_id").limit(1000).collect()]
+    """Lower bound of the mean paired difference, resampled with the seeded generator. The stories of one evaluation are few, which is checked; their means come to the driver."""
+    deltas = stats.story_deltas(evaluation(spark, sf)).cache()
+    if deltas.count() > stats.MAX_STORIES:
+        raise ValueError(f"more than {stats.MAX_STORIES} stories in an evaluation")
+    values = [r.delta for r in deltas.orderBy("story_id").collect()]
+    deltas.unpersist()
     return spark.createDataFrame([(len(values), stats.bootstrap_lower(values, 42))], "n int, lower double")
 
 
