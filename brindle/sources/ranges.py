@@ -58,7 +58,7 @@ def ranged_source(name: str, schema: str, fetch: Fetch, most: int = 1) -> type[D
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema) -> DataSourceReader:
+        def reader(self, schema) -> DataSourceReader:  # noqa: ARG002 - named by the interface
             return Reader(int(self.options["start"]), int(self.options["stop"]))
 
     return Ranged
