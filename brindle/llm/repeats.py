@@ -39,7 +39,7 @@ GRAM = 32
 PIECE = 8 << 20
 POSITION_BITS = np.uint64(24)
 #: Bytes whose suffixes a task sorts at once, and of one anchor's different regions before they are split.
-SORT_BYTES, GROUP_BYTES = 4 << 20, 128 << 10
+SORT_BYTES, GROUP_BYTES = 1_400_000, 128 << 10
 #: Offsets around an anchor that stay together when a group is split, and split again.
 SPLITS = (46, 6, 1)
 
