@@ -27,16 +27,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes and rows, unless the session sets its own bounds."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        if key not in _set_by_user(spark):
+    """Arrow batches are bounded by bytes and rows, unless the session has bounds of its own (other than Spark's defaults)."""
+    for key, default, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS)):
+        if spark.conf.get(key) == default:
             spark.conf.set(key, value)
 
 
-def _set_by_user(spark: SparkSession) -> set[str]:
-    return {k for k, _ in spark.sparkContext.getConf().getAll()}
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where Spark runs in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,7 +47,7 @@ class Scratch:
     """Written tables that cut lineage. They outlive executors; a rerun gets a folder of its own."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.tables = spark, f"{scratch_root(spark)}/brindle/{name}-{uuid.uuid4().hex}", []
         if not _EXIT:
             atexit.register(_clean)
         _EXIT.append(self)
@@ -66,6 +62,7 @@ class Scratch:
         table = f"brindle_{name}_{uuid.uuid4().hex}"
         writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.base}/{name}")
         writer.bucketBy(n, key).saveAsTable(table)
+        self.tables.append(table)
         return self.spark.table(table)
 
     def drop(self, name: str = "") -> None:
@@ -77,6 +74,8 @@ class Scratch:
 def _clean() -> None:
     for s in _EXIT:
         try:
+            for table in s.tables:
+                s.spark.sql(f"DROP TABLE IF EXISTS {table}")
             s.drop()
         except Exception:  # noqa: BLE001 - the JVM may be gone by now
             return
