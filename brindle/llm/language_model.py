@@ -30,7 +30,7 @@ from .common import Scratch, bound_batches, buffer, merged, rows_of, runs
 
 DEPTH = 3
 EDGE = 0xFF  # before and after a text
-FLUSH = 500_000  # distinct words that a task holds before it hands them on
+FLUSH = 150_000  # distinct words that a task holds before it hands them on
 
 
 def _classes() -> np.ndarray:
@@ -97,13 +97,13 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def choices(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By context, how often each of the 255 choices of a byte's bits fell to 0 and to 1: choice 1 is the first bit's, 2k and 2k+1 follow k."""
+def bit_tree(counts: np.ndarray) -> np.ndarray:
+    """[contexts, 512]: counts of a byte's leading bits. Entry 1 is all bytes, 2k and 2k + 1 those that go on from k by 0 and 1."""
     tree = np.zeros((len(counts), 512))
     tree[:, 256:] = counts
     for k in range(255, 0, -1):
         tree[:, k] = tree[:, 2 * k] + tree[:, 2 * k + 1]
-    return tree[:, 2:512:2], tree[:, 3:512:2]
+    return tree
 
 
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -112,6 +112,32 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - 2 * half
 
 
+def _mixed(ids: list[np.ndarray], splits: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The mixed probabilities of a 1, for all deepest contexts and then for each of their parents' unseen children.
+
+    ids: the contexts of each depth, deepest first; splits: their counts of 0 and 1 at some choices.
+    """
+    own = [estimate(z, o) for z, o in splits]
+    weighted = [own[0]]
+    for k in range(1, DEPTH + 1):
+        below = np.zeros_like(own[k])
+        np.add.at(below, ids[k - 1] % len(ids[k]), weighted[-1])
+        weighted.append(np.logaddexp(own[k], below) - np.log(2))
+    mixed = rest = None
+    for k in range(DEPTH, -1, -1):  # from the empty context down
+        z, o = splits[k]
+        share = np.exp(np.clip(own[k] - weighted[k] - np.log(2), -700, 0)) if k else 1.0
+        here = (o + 0.5) / (z + o + 1)
+        if mixed is None:
+            mixed, rest = share * here, 1 - share
+            continue
+        up = ids[k] % len(ids[k + 1])
+        if k == 0:  # a context never seen predicts one half
+            unseen = mixed + rest * 0.5
+        mixed, rest = mixed[up] + rest[up] * share * here, rest[up] * (1 - share)
+    return np.concatenate((mixed, unseen))
+
+
 def log_table(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row of each context code, float32 [rows, 256] of log10 probabilities) from counts of code = context << 8 | byte."""
     contexts, which = np.unique(codes >> 8, return_inverse=True)
@@ -123,34 +149,23 @@ def log_table(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
         parent = np.zeros((CLASSES**d, 256))
         np.add.at(parent, ids % CLASSES**d, matrix)
         levels.append((np.arange(CLASSES**d), parent))
-    splits = [choices(m) for _, m in levels]
-    own = [estimate(z, o) for z, o in splits]
-    weighted = [own[0]]
-    for k in range(1, DEPTH + 1):
-        below = np.zeros_like(own[k])
-        np.add.at(below, levels[k - 1][0] % len(levels[k][0]), weighted[-1])
-        weighted.append(np.logaddexp(own[k], below) - np.log(2))
-    ones = None
-    for k in range(DEPTH, -1, -1):  # from the empty context down, the mixed probability of a 1
-        z, o = splits[k]
-        share = np.exp(np.clip(own[k] - weighted[k] - np.log(2), -700, 0)) if k else 1.0
-        here = (o + 0.5) / (z + o + 1)
-        if ones is None:
-            mixed, rest = share * here, 1 - share
-        else:
-            up = levels[k][0] % len(levels[k + 1][0])
-            if k == 0:  # a context never seen predicts one half
-                unseen = mixed + rest * 0.5
-            mixed, rest = mixed[up] + rest[up] * share * here, rest[up] * (1 - share)
-        ones = mixed
-    p = np.concatenate((mixed, unseen))
-    table = np.zeros((len(p), 512), np.float64)
-    logs = np.log10(np.stack((1 - p, p), axis=2)).reshape(len(p), -1)  # of children 2, 3, 4, ... 511
-    for k in range(2, 512):
-        table[:, k] = table[:, k >> 1] + logs[:, k - 2]
+    ids = [i for i, _ in levels]
+    trees = [bit_tree(levels.pop(0)[1]) for _ in ids]
+    unseen_rows = len(ids[1])
+    p = np.zeros((len(contexts) + unseen_rows, 256), np.float32)  # of choice k, that its bit is 1
+    for k in range(1, 256, 32):  # choices don't depend on each other
+        p[:, k : k + 32] = _mixed(ids, [(t[:, 2 * k : 2 * min(k + 32, 256) : 2], t[:, 2 * k + 1 : 2 * min(k + 32, 256) : 2]) for t in trees])
+    p = p[:, 1:]
+    table = np.empty((len(p), 256), np.float32)
+    for k in range(0, len(p), 1024):  # a path's product, for some contexts at a time
+        tree = np.zeros((len(p[k : k + 1024]), 512))
+        logs = np.log10(np.stack((1 - p[k : k + 1024].astype(float), p[k : k + 1024]), axis=2)).reshape(len(tree), -1)  # of children 2, 3, 4, ... 511
+        for node in range(2, 512):
+            tree[:, node] = tree[:, node >> 1] + logs[:, node - 2]
+        table[k : k + 1024] = tree[:, 256:]
     row = len(contexts) + np.arange(CLASSES**DEPTH, dtype=np.int64) % CLASSES ** (DEPTH - 1)
     row[contexts] = np.arange(len(contexts))
-    return row.astype(np.int32), table[:, 256:].astype(np.float32)
+    return row.astype(np.int32), table
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,14 +246,16 @@ def lm_scores(spark: SparkSession, docs: DataFrame, learn_from: DataFrame, id_co
     n_train = learn_from.count()
     total, kinds = words + n_train, distinct + (n_train > 0)
     grams = texts.mapInArrow(count_contexts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = np.array([tuple(r) for r in grams.collect()], np.int64).reshape(-1, 2)  # at most CLASSES^3 x 256 rows, by the rule above
-    row_of, table = log_table(found[:, 0], found[:, 1])
+    found = grams.toArrow()  # at most CLASSES^3 x 256 rows, by the rule above
+    row_of, table = log_table(found.column("code").to_numpy(), found.column("n").to_numpy())
+    del found
 
     def log10_of(c: float) -> float:
         return float(np.log10((c + smooth) / (total + smooth * (kinds + 1)))) if total + smooth * (kinds + 1) else 0.0
 
-    top = vocabulary.orderBy(F.col("c").desc(), "word").limit(frequent).collect()
-    model = {"row_of": row_of, "table": table, "frequent": {bytes(r.word): log10_of(r.c) for r in top}, "end": (log10_of(n_train), int(n_train > 0))}
+    top = vocabulary.orderBy(F.col("c").desc(), "word").limit(frequent).toArrow()
+    known = {w: log10_of(c) for w, c in zip(top.column("word").to_pylist(), top.column("c").to_pylist())}
+    model = {"row_of": row_of, "table": table, "frequent": known, "end": (log10_of(n_train), int(n_train > 0))}
     shared = spark.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).alias("id"), *keep, "text")
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
