@@ -101,7 +101,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return out
 
 
-def plan(histogram: np.ndarray, capacity: int, groups: int = 64, large_from: float = 0.125) -> tuple[list[Run], int]:
+def plan(histogram: np.ndarray, capacity: int, groups: int = 512, large_from: float = 0.25) -> tuple[list[Run], int]:
     """(runs, number of sequences) for histogram[length] pieces of each length."""
     next_rank, sequences, runs = defaultdict(int), 0, []
     rest = {n: int(histogram[n]) for n in range(1, capacity) if histogram[n]}
@@ -208,7 +208,7 @@ def _place_udf(shared):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, ranks: str | None = None, groups: int = 64) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, ranks: str | None = None, groups: int = 512) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and has one token, the end. Rows that repeat an id are packed each. No rows
