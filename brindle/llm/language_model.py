@@ -1,14 +1,17 @@
 """Language-model scores: context-tree weighting over bytes, and a smoothed word unigram as its base.
 
-Context-tree weighting. Each byte is coded as eight binary choices. A choice is predicted at every
-context depth from 0 to `DEPTH` preceding bytes by a Krichevsky-Trofimov estimate, and the depths are
-mixed with the weights that the context tree gives them: a node's weighted probability is half its own
-estimate plus half the product of its children's. Both follow from the counts of (context, byte) in
-the training texts alone, so training is one distributed count. Context bytes are folded into
-`CLASSES` classes by a fixed rule, so there are at most CLASSES^3 contexts and the broadcast model,
-log probabilities of all bytes in all seen contexts, has a size bound that doesn't depend on the input.
-Predictions at choices in contexts never seen follow from their parents. A text ends with a byte that
-UTF-8 never uses, so the probabilities of all texts sum to one.
+Context-tree weighting. Each byte is coded as eight binary choices. A choice is predicted in every
+context of 0 to `DEPTH` preceding bytes by a Krichevsky-Trofimov estimate, and the depths are mixed with
+the weights that the context tree gives them: a node's weighted probability is half its own estimate
+plus half the product of its children's. Both follow from the counts of (context, byte) in the training
+texts alone, so training is one distributed count of byte strings.
+
+The tree keeps the `contexts` most frequent contexts of all depths, whatever the input; all that a node
+has in contexts that aren't kept is one more child, a leaf. So the model has a size bound: at most
+contexts x 256 log probabilities, and as many transitions of the automaton that finds the deepest kept
+context. A shorter context is never rarer than one it is part of, so the kept ones are closed, and the
+automaton needs no more than its state. Predictions in contexts never seen follow from their parents.
+A text ends with a byte that UTF-8 never uses, so the probabilities of all texts sum to one.
 
 Words. Counts are made with a combiner in each task and summed by word. Scoring uses a broadcast of
 the `frequent` most frequent words; a document's other words are joined with the whole word table.
@@ -26,75 +29,116 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, buffer, merged, rows_of, runs
+from .common import Scratch, bound_batches, buffer, rows_of, runs
 
-DEPTH = 3
+DEPTH = 6
 EDGE = 0xFF  # before and after a text
 FLUSH = 150_000  # distinct words that a task holds before it hands them on
+GRAM_FLUSH = 1_000_000  # distinct byte strings that it does
+SEGMENT = 256  # bytes that the automaton reads in one go; many segments go side by side
 
 
-def _classes() -> np.ndarray:
-    """Letters by themselves in either case, digits, blanks, other blanks, stops, other signs, controls, lead bytes, eight kinds of continuation."""
-    out = np.full(256, 30, np.int64)
-    for b in range(256):
-        if 65 <= b <= 90 or 97 <= b <= 122:
-            out[b] = (b | 32) - 97
-        elif 48 <= b <= 57:
-            out[b] = 26
-        elif b == 32:
-            out[b] = 27
-        elif b in (9, 10, 11, 12, 13):
-            out[b] = 28
-        elif b in (44, 46):
-            out[b] = 29
-        elif b < 32 or b in (127, EDGE):
-            out[b] = 31
-        elif b >= 0xC0:
-            out[b] = 32
-        elif b >= 0x80:
-            out[b] = 33 + (b >> 3 & 7)
-    return out
+def framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, starts): DEPTH edges, then each row's bytes and DEPTH edges; starts[i] is row i's first byte."""
+    n, length = len(offsets) - 1, np.diff(offsets)
+    ext = np.full(len(data) + DEPTH * (n + 1), EDGE, np.uint8)
+    ext[np.arange(len(data)) + np.repeat(DEPTH * np.arange(1, n + 1), length)] = data
+    return ext, offsets[:-1] + DEPTH * np.arange(1, n + 1)
 
 
-CLASS = _classes()
-CLASSES = int(CLASS.max()) + 1
+def gram_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte of each row and the end after it: the DEPTH bytes before it, the last first, and itself, as one number."""
+    ext, starts = framed(data, offsets)
+    wide = ext.astype(np.int64)
+    code, n = wide[DEPTH:].copy(), len(ext) - DEPTH
+    for k in range(1, DEPTH + 1):
+        code |= wide[DEPTH - k : DEPTH - k + n] << (8 * (DEPTH + 1 - k))
+    length = np.diff(offsets) + 1
+    return code[np.arange(length.sum()) + np.repeat(starts - DEPTH - (np.cumsum(length) - length), length)]
 
 
-def framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, bytes, offsets): for each byte of each row and the end after it, the code of the three classes before it."""
-    n, length = len(offsets) - 1, np.diff(offsets)
-    ext = np.full(len(data) + DEPTH * (n + 1), EDGE, np.uint8)
-    ext[np.arange(len(data)) + np.repeat(DEPTH * np.arange(1, n + 1), length)] = data
-    c = CLASS[ext]
-    code = (c[:-3] * CLASSES + c[1:-2]) * CLASSES + c[2:-1]  # of position 3, 4, ...
-    ends = offsets + np.arange(n + 1)  # a row's bytes and its end
-    take = np.arange(ends[-1]) + np.repeat((DEPTH - 1) * np.arange(n), length + 1)
-    return code[take], ext[3:][take], ends
+def tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, sums of their counts, 1 each if none are given)."""
+    if counts is None:
+        codes = np.sort(codes)
+    else:
+        by = np.argsort(codes)
+        codes, counts = codes[by], counts[by]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), codes[1:] != codes[:-1])))
+    if counts is None:
+        return codes[first], np.diff(np.concatenate((first, [len(codes)])))
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n) of context and byte, summed over the task; its array is bounded by CLASSES^3 x 256."""
-    total = None
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n) of gram_codes, summed over as many texts as memory bounds allow."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        return tally(*(np.concatenate(x) for x in zip(*held)))
+
+    def out(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
+
     for batch in batches:
         data, offsets = buffer(batch.column(0))
         for i, j in runs(offsets):
-            code, symbol, _ = framed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if total is None:
-                total = np.zeros(CLASSES**DEPTH << 8, np.uint32)
-            keys, n = np.unique((code << 8 | symbol).astype(np.int32), return_counts=True)
-            total[keys] += n.astype(np.uint32)
-    if total is not None:
+            held.append(tally(gram_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
+            if sum(len(c) for c, _ in held) > 2 * GRAM_FLUSH:
+                held = [merge()]
+                if len(held[0][0]) > GRAM_FLUSH:
+                    yield out(*held.pop())
+    if held:
+        yield out(*merge())
+
+
+def frequent_contexts(grams: DataFrame, scratch: Scratch, most: int) -> list[np.ndarray]:
+    """By depth, the sorted codes of the kept contexts: the most frequent of all depths, shorter ones first at ties."""
+    deepest = scratch.save(grams.groupBy(F.shiftright("code", 8).alias("key")).agg(F.sum("n").alias("n")), "contexts")
+    found = None
+    for d in range(DEPTH, 0, -1):
+        rows = deepest if d == DEPTH else deepest.groupBy(F.shiftright("key", 8 * (DEPTH - d)).alias("key")).agg(F.sum("n").alias("n"))
+        rows = rows.orderBy(F.desc("n"), "key").limit(most).select(F.lit(d).alias("depth"), "key", "n")
+        found = rows if found is None else found.unionAll(rows)
+    top = found.orderBy(F.desc("n"), "depth", "key").limit(most).toArrow()
+    depth, key = top.column("depth").to_numpy(), top.column("key").to_numpy()
+    return [np.zeros(1, np.int64)] + [np.sort(key[depth == d]) for d in range(1, DEPTH + 1)]
+
+
+def find(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of codes, -1 where they aren't."""
+    if not len(sorted_codes):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return np.where(sorted_codes[at] == codes, at, -1)
+
+
+def _count_kept_udf(kept):
+    """Counts of (kept context, byte): state x 256 + byte, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = kept.value
+        base = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+        total = np.zeros(base[-1] << 8, np.int64)
+        for batch in batches:
+            code, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for d in range(DEPTH + 1):
+                at = find(ids[d], code >> (8 * (DEPTH + 1 - d)))
+                hit = at >= 0
+                np.add.at(total, (at[hit] + base[d]) << 8 | code[hit] & 255, n[hit])
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen].astype(np.int64))], ["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
+
+    return run
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by eight; errors near 1e-13."""
+    """Stirling's series after a shift by eight; errors near 1e-11."""
     shift = np.zeros_like(x)
     for k in range(8):
         shift += np.log(x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - shift
 
 
 def bit_tree(counts: np.ndarray) -> np.ndarray:
@@ -112,60 +156,94 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - 2 * half
 
 
-def _mixed(ids: list[np.ndarray], splits: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The mixed probabilities of a 1, for all deepest contexts and then for each of their parents' unseen children.
+def _tree_probabilities(up: list[np.ndarray], counts: list[np.ndarray], rest: list[np.ndarray]) -> list[np.ndarray]:
+    """By depth, [contexts, choices]: the mixed probability of a 1 where a context is the deepest that is kept.
 
-    ids: the contexts of each depth, deepest first; splits: their counts of 0 and 1 at some choices.
+    up: each context's parent; counts and rest: [contexts, choices, 2], in the context and in its contexts that aren't kept.
     """
-    own = [estimate(z, o) for z, o in splits]
-    weighted = [own[0]]
-    for k in range(1, DEPTH + 1):
-        below = np.zeros_like(own[k])
-        np.add.at(below, ids[k - 1] % len(ids[k]), weighted[-1])
-        weighted.append(np.logaddexp(own[k], below) - np.log(2))
-    mixed = rest = None
-    for k in range(DEPTH, -1, -1):  # from the empty context down
-        z, o = splits[k]
-        share = np.exp(np.clip(own[k] - weighted[k] - np.log(2), -700, 0)) if k else 1.0
-        here = (o + 0.5) / (z + o + 1)
-        if mixed is None:
-            mixed, rest = share * here, 1 - share
-            continue
-        up = ids[k] % len(ids[k + 1])
-        if k == 0:  # a context never seen predicts one half
-            unseen = mixed + rest * 0.5
-        mixed, rest = mixed[up] + rest[up] * share * here, rest[up] * (1 - share)
-    return np.concatenate((mixed, unseen))
-
-
-def log_table(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each context code, float32 [rows, 256] of log10 probabilities) from counts of code = context << 8 | byte."""
-    contexts, which = np.unique(codes >> 8, return_inverse=True)
-    deepest = np.zeros((len(contexts), 256))
-    np.add.at(deepest, (which, codes & 255), counts)
-    levels = [(contexts, deepest)]  # from the deepest to the empty context; the shallower ones have all contexts
+    own = [estimate(c[..., 0], c[..., 1]) for c in counts]
+    inner = [np.isin(np.arange(len(counts[d])), up[d + 1]) if d < DEPTH else np.zeros(len(counts[d]), bool) for d in range(DEPTH + 1)]
+    weighted = list(own)
     for d in range(DEPTH - 1, -1, -1):
-        ids, matrix = levels[-1]
-        parent = np.zeros((CLASSES**d, 256))
-        np.add.at(parent, ids % CLASSES**d, matrix)
-        levels.append((np.arange(CLASSES**d), parent))
-    ids = [i for i, _ in levels]
-    trees = [bit_tree(levels.pop(0)[1]) for _ in ids]
-    unseen_rows = len(ids[1])
-    p = np.zeros((len(contexts) + unseen_rows, 256), np.float32)  # of choice k, that its bit is 1
+        below = estimate(rest[d][..., 0], rest[d][..., 1])
+        np.add.at(below, up[d + 1], weighted[d + 1])
+        weighted[d] = np.where(inner[d][:, None], np.logaddexp(own[d], below) - np.log(2), own[d])
+    one = lambda c: (c[..., 1] + 0.5) / (c.sum(axis=-1) + 1)
+    mixed, left, out = np.zeros((1, 1)), np.ones((1, 1)), []
+    for d in range(DEPTH + 1):
+        share = np.where(inner[d][:, None], np.exp(np.clip(own[d] - weighted[d] - np.log(2), -700, 0)), 1.0)
+        mixed, left = (mixed[up[d]], left[up[d]]) if d else (mixed, left)
+        mixed, left = mixed + left * share * one(counts[d]), left * (1 - share)
+        out.append(mixed + left * one(rest[d]))
+    return out
+
+
+def log_table(kept: list[np.ndarray], codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """float32 [states, 256] of log10 probabilities from the counts of state x 256 + byte. States are the kept contexts by depth."""
+    sizes = [len(k) for k in kept]
+    base = np.concatenate(([0], np.cumsum(sizes)))
+    whole = np.zeros((base[-1], 256))
+    whole.ravel()[codes] = n
+    up = [np.zeros(1, np.int64)] + [find(kept[d - 1], kept[d] >> 8) for d in range(1, DEPTH + 1)]
+    counts = [whole[base[d] : base[d + 1]] for d in range(DEPTH + 1)]
+    left = [c.copy() for c in counts]
+    for d in range(DEPTH):
+        np.subtract.at(left[d], up[d + 1], counts[d + 1])
+    left[DEPTH][:] = 0
+    trees, rests = [bit_tree(c) for c in counts], [bit_tree(c) for c in left]
+    p = np.zeros((base[-1], 256), np.float32)  # of choice k, that its bit is 1
     for k in range(1, 256, 32):  # choices don't depend on each other
-        p[:, k : k + 32] = _mixed(ids, [(t[:, 2 * k : 2 * min(k + 32, 256) : 2], t[:, 2 * k + 1 : 2 * min(k + 32, 256) : 2]) for t in trees])
-    p = p[:, 1:]
+        part = lambda t: np.stack((t[:, 2 * k : 2 * min(k + 32, 256) : 2], t[:, 2 * k + 1 : 2 * min(k + 32, 256) : 2]), axis=2)  # noqa: B023, E731
+        p[:, k : k + 32] = np.concatenate(_tree_probabilities(up, [part(t) for t in trees], [part(t) for t in rests]))
+    del trees, rests
     table = np.empty((len(p), 256), np.float32)
     for k in range(0, len(p), 1024):  # a path's product, for some contexts at a time
-        tree = np.zeros((len(p[k : k + 1024]), 512))
-        logs = np.log10(np.stack((1 - p[k : k + 1024].astype(float), p[k : k + 1024]), axis=2)).reshape(len(tree), -1)  # of children 2, 3, 4, ... 511
+        tree, some = np.zeros((len(p[k : k + 1024]), 512)), p[k : k + 1024].astype(float)
         for node in range(2, 512):
-            tree[:, node] = tree[:, node >> 1] + logs[:, node - 2]
+            one = some[:, node >> 1]
+            tree[:, node] = tree[:, node >> 1] + np.log10(one if node & 1 else 1 - one)
         table[k : k + 1024] = tree[:, 256:]
-    row = len(contexts) + np.arange(CLASSES**DEPTH, dtype=np.int64) % CLASSES ** (DEPTH - 1)
-    row[contexts] = np.arange(len(contexts))
-    return row.astype(np.int32), table
+    return table
+
+
+def transitions(kept: list[np.ndarray]) -> np.ndarray:
+    """int32 [states, 256]: the state after a byte, its deepest kept context."""
+    base = np.concatenate(([0], np.cumsum([len(k) for k in kept])))
+    out = np.zeros((base[-1], 256), np.int32)
+    first = find(kept[1], np.arange(256))
+    for d in range(DEPTH + 1):
+        mine = out[base[d] : base[d + 1]]
+        mine[:] = np.where(first >= 0, first + base[1], 0)
+        for b in np.flatnonzero(first >= 0):  # a byte that is no context of its own is in none
+            for k in range(1, min(d, DEPTH - 1) + 1):
+                at = find(kept[k + 1], b << (8 * k) | kept[d] >> (8 * (d - k)))
+                mine[:, b] = np.where(at >= 0, at + base[k + 1], mine[:, b])
+    return out
+
+
+def text_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Log10 probability of each row. Rows are cut into segments that the automaton reads side by side; a segment's
+    state comes from the DEPTH bytes before it."""
+    ext, starts = framed(data, offsets)
+    length = np.diff(offsets) + 1
+    pieces = -(-length // SEGMENT)
+    row = np.repeat(np.arange(len(length)), pieces)
+    inner = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+    size = np.minimum(length[row] - inner, SEGMENT)
+    by = np.argsort(-size, kind="stable")
+    at, size, total = (starts[row] + inner)[by], size[by], np.zeros(len(row))
+    state = np.zeros(len(row), np.int32)
+    for k in range(-DEPTH, 0):
+        state = after[state, ext[at + k]]
+    ends = len(size) - np.searchsorted(size[::-1], np.arange(int(size.max(initial=0))), side="right")  # segments longer than k
+    for k, n in enumerate(ends):
+        state = state[:n]
+        byte = ext[at[:n] + k]
+        total[:n] += table[state, byte]
+        state = after[state, byte]
+    out = np.zeros(len(length))
+    np.add.at(out, row[by], total)
+    return out
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +266,14 @@ def _score_udf(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, part, nth = shared.value, TaskContext.get().partitionId(), 0
-        row_of, table, frequent = m["row_of"], m["table"], m["frequent"]
+        after, table, frequent = m["after"], m["table"], m["frequent"]
         end, end_known = m["end"]
         for batch in batches:
             names = batch.schema.names
             data, offsets = buffer(batch.column(names.index("text")))
             scores = [np.zeros(0)]
             for i, j in runs(offsets):
-                code, symbol, ends = framed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                scores.append(merged(ends, table[row_of[code], symbol].astype(np.float64)))
+                scores.append(text_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table, after))
             n_tokens, n_known, base, key, words, counts = [], [], [], [], [], []
             for k, text in enumerate(rows_of(batch, "text")):
                 tokens = text.lower().split()
@@ -230,8 +307,8 @@ def _score_udf(shared):
     return run
 
 
-def lm_scores(spark: SparkSession, docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), frequent: int = 100_000, smooth: float = 0.1) -> DataFrame:
-    """One row per row of docs: id, the columns of keep, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+def lm_scores(spark: SparkSession, docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), frequent: int = 100_000, smooth: float = 0.1, contexts: int = 32_000) -> DataFrame:
+    """One row per row of docs: id, the columns of keep, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words with A-Z lower-cased, then one end, which no word equals. base_score is the sum
     of log10((c + smooth) / (N + smooth (V + 1))); score the log10 probability of the text by context-tree
@@ -245,17 +322,19 @@ def lm_scores(spark: SparkSession, docs: DataFrame, learn_from: DataFrame, id_co
     words, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train = learn_from.count()
     total, kinds = words + n_train, distinct + (n_train > 0)
-    grams = texts.mapInArrow(count_contexts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = grams.toArrow()  # at most CLASSES^3 x 256 rows, by the rule above
-    row_of, table = log_table(found.column("code").to_numpy(), found.column("n").to_numpy())
-    del found
+    grams = scratch.save(texts.mapInArrow(count_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
+    kept = frequent_contexts(grams, scratch, contexts)
+    shared_kept = spark.sparkContext.broadcast(kept)
+    counted = grams.mapInArrow(_count_kept_udf(shared_kept), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most contexts x 256 rows
+    table = log_table(kept, counted.column("code").to_numpy(), counted.column("n").to_numpy())
+    del counted
 
     def log10_of(c: float) -> float:
         return float(np.log10((c + smooth) / (total + smooth * (kinds + 1)))) if total + smooth * (kinds + 1) else 0.0
 
     top = vocabulary.orderBy(F.col("c").desc(), "word").limit(frequent).toArrow()
     known = {w: log10_of(c) for w, c in zip(top.column("word").to_pylist(), top.column("c").to_pylist())}
-    model = {"row_of": row_of, "table": table, "frequent": known, "end": (log10_of(n_train), int(n_train > 0))}
+    model = {"after": transitions(kept), "table": table, "frequent": known, "end": (log10_of(n_train), int(n_train > 0))}
     shared = spark.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).alias("id"), *keep, "text")
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
