@@ -159,29 +159,49 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 def _expand_udf(least: int):
     """Rows (h, d, copies, region) sorted by h; out: (h, d, spans), runs of window starts in the region that repeat."""
 
+    spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        lists = pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], spans)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), lists], ["h", "d", "spans"])
+
+    def merged_copies(rows: list[tuple]) -> pa.RecordBatch:
+        """All windows of regions that were merged from several equal ones."""
+        return out([(h, d, [(0, len(region) - least + 1)]) for h, d, copies, region in rows if copies > 1])
+
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        regions = [r[3] for r in held]
-        flags, at, rows = repeated_starts(regions, least), 0, []
+        flags, at, rows = repeated_starts([r[3] for r in held], least), 0, []
         for h, d, copies, region in held:
             n = len(region) - least + 1
             own = np.ones(n, bool) if copies > 1 else flags[at : at + n]
             if own.any():
                 rows.append((h, d, _spans(own)))
             at += len(region) + 1
-        spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], spans)], ["h", "d", "spans"]
-        )
+        return out(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, group, alone = [], 0, [], []
+
+        def close() -> int:
+            """Takes the group in: a region alone under its anchor has nothing to be compared with."""
+            (alone if len(group) == 1 else held).extend(group)
+            return 0 if len(group) == 1 else sum(len(r[3]) + 1 for r in group)
+
         for batch in batches:
-            for h, d, copies, region in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if size > SORT_BYTES and h != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append((h, d, copies, region))
-                size += len(region) + 1
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if group and row[0] != group[0][0]:
+                    size += close()
+                    group = []
+                    if size > SORT_BYTES:
+                        yield solve(held)
+                        held, size = [], 0
+                    if len(alone) > 5000:
+                        yield merged_copies(alone)
+                        alone = []
+                group.append(row)
+        close()
+        if alone:
+            yield merged_copies(alone)
         if held:
             yield solve(held)
 
