@@ -47,13 +47,24 @@ def share_hit(row_id: Column, percent: int) -> Column:
     return F.lit(percent >= 100) if percent <= 0 or percent >= 100 else F.abs(row_id) % 100 < percent
 
 
-def route(row_id: Column, tokens: Column, max_out: int, percent: int, short_cap: int = 5500, medium_cap: int = 8000, exhausted: Column | None = None) -> Column:
-    """legacy, short, medium or skip: by share of ids and the tokens that a call reserves, prompt and answer."""
+def route(row_id: Column, tokens: Column, max_out: int, percent: int, short_cap: int = 5500, medium_cap: int = 8000, enabled: bool = True, fallback: str = "small", medium: str = "medium", exhausted: Column | None = None) -> Column:
+    """struct(kind, model, reason): which second route a call takes, by a stable share of ids and by the tokens that it reserves.
+
+    Outside the share (or with the routes off) the fallback model as ever; else the fallback for short calls, the medium model for
+    medium ones, and none where the call is too large, or the model is unset or among the exhausted ones.
+    """
     reserved = tokens + max_out
-    tier = F.when(reserved < short_cap, F.lit("short")).when(reserved <= medium_cap, F.lit("medium")).otherwise(F.lit("skip"))
-    if exhausted is not None:
-        tier = F.when(F.array_contains(exhausted, tier), F.lit("skip")).otherwise(tier)
-    return F.when(~share_hit(row_id, percent), F.lit("legacy")).otherwise(tier)
+    pick = lambda kind, model, reason: F.struct(F.lit(kind).alias("kind"), F.lit(model).alias("model"), F.lit(reason).alias("reason"))
+    spent = lambda model: F.array_contains(exhausted, model) if exhausted is not None else F.lit(False)
+
+    def tier(kind: str, model: str, fits: str) -> Column:
+        if not model.strip():
+            return pick("skip", "", f"{kind}-empty")
+        return F.when(spent(model), pick("skip", "", f"{kind}-exhausted")).otherwise(pick(kind, model, fits))
+
+    off = "legacy-fallback-empty" if not fallback.strip() else "routes-off" if not enabled else "share-zero" if percent <= 0 else "share-miss"
+    chosen = F.when(reserved < short_cap, tier("short", fallback, "under-short-cap")).when(reserved <= medium_cap, tier("medium", medium, "under-medium-cap")).otherwise(pick("skip", "", "over-medium-cap"))
+    return F.when(F.lit(not enabled) | ~share_hit(row_id, percent), pick("legacy", fallback.strip(), off)).otherwise(chosen)
 
 
 def is_substantive(text: Column, least: int = 80) -> Column:
@@ -79,12 +90,15 @@ def compressed_state(text: Column, source_hash: Column, expected: Column) -> Col
 
 
 def guard_verdict(ok: Column, is_article: Column, refusal: Column, confidence: Column, verdict: Column, reasons: Column, least: float = 0.6, reject_from: float = 0.7) -> Column:
-    """struct(ok, verdict, reasons): a guard's answer held to its own confidence; at most two distinct reasons, prefixed."""
-    rejects = (verdict != "ok") & (confidence >= reject_from)
-    fine = ok & is_article & ~refusal & (confidence >= least) & ~rejects
-    final = F.when(fine, F.lit("ok")).when(refusal, F.lit("refusal")).when(~is_article, F.lit("not_article")).when(verdict != "ok", verdict).otherwise(F.lit("low_confidence"))
-    kept = F.slice(F.array_distinct(F.filter(F.transform(reasons, trimmed), lambda r: r != "")), 1, 2)
-    return F.struct(fine.alias("ok"), final.alias("verdict"), F.transform(kept, lambda r: F.concat(F.lit("guard: "), r)).alias("reasons"))
+    """struct(ok, verdict, reasons): a guard's answer held to its own confidence; a confident verdict against a text counts.
+
+    Reasons begin with what the flags say; at most two distinct ones stay.
+    """
+    fine = ok & is_article & ~refusal & (confidence >= least) & ~((verdict != "ok") & (confidence >= reject_from))
+    final = F.when(fine, verdict).when(~is_article, F.lit("not_article")).when(refusal, F.lit("refusal")).otherwise(verdict)
+    flags = F.array_compact(F.array(F.when(~is_article, F.lit("not_article")), F.when(refusal, F.lit("refusal"))))
+    kept = F.slice(F.array_distinct(F.filter(F.concat(flags, F.transform(reasons, trimmed)), lambda r: r != "")), 1, 2)
+    return F.struct(fine.alias("ok"), final.alias("verdict"), kept.alias("reasons"))
 
 
 def post_changed(has_summary: Column, only_missing: bool, cooling: Column, cached: Column, stored_hash: Column, new_hash: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import render as rd
 from ..functions import text as t
 from ..operators import gates as g
 from ..operators import stats
@@ -92,42 +93,72 @@ def paired_delta(spark, sf):
 
 
 CHECKS = [
-    ("threads", "threads >= 20"), ("delta", "delta >= 0.3"), ("pass_rate", "pass_rate >= 0.9"), ("missing", "missing = 0"), ("purity", "purity >= 4.5"),
-    ("overall", "overall >= 3"), ("quotes", "quote_accuracy >= 0.9"),
+    ("quality_thread_count", "threads >= 20"), ("overall_delta", "delta >= 0.3"), ("validation_pass_rate_v2", "pass_rate >= 0.9"), ("missing_results", "missing <= 0"),
+    ("language_purity_v2", "purity >= 4.5"), ("faithfulness_v2", "faith >= 4"), ("faithfulness_delta", "faith - faith_v1 >= 0"),
+    ("quote_accuracy_on_emitted_v2", "quote_accuracy IS NULL OR quote_accuracy >= 1"), ("refusals_v2", "refusals <= 0"),
 ]
 
 
+def gate_row(e):
+    """One row of an evaluation's measures. Means are over judged records, the difference over stories' means of pairs, threads over distinct stories."""
+    q = e.where("cohort <> 'edge'")
+    of = lambda v, c: F.avg(F.when(F.col("variant") == v, F.col(c).cast("double")))
+    row = q.agg(
+        F.countDistinct("story_id").alias("threads"), of("v2", "validated").alias("pass_rate"), F.count_if(F.col("overall").isNull()).alias("missing"),
+        of("v2", "purity").alias("purity"), of("v2", "faithfulness").alias("faith"), of("v1", "faithfulness").alias("faith_v1"),
+        of("v2", "quote_accurate").alias("quote_accuracy"), F.count_if((F.col("variant") == "v2") & F.col("refused")).alias("refusals"),
+    )
+    return row.crossJoin(stats.story_deltas(e).agg(F.avg("delta").alias("delta")))  # two single rows
+
+
 @query("release_gate", sql("evaluation", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", coalesce({c}, false) AS passed FROM totals" for n, c in CHECKS), PAIRS + """,
-    totals AS (SELECT count(DISTINCT story_id) AS threads, (SELECT avg(delta) FROM deltas) AS delta, avg(validated::INT) AS pass_rate, count(*) FILTER (overall IS NULL) AS missing, avg(purity) AS purity, avg(overall) AS overall,
-      avg(quote_accurate::INT) AS quote_accuracy FROM evaluation WHERE cohort <> 'edge' AND variant = 'v2')"""))
+    totals AS (SELECT count(DISTINCT story_id) AS threads, (SELECT avg(delta) FROM deltas) AS delta, avg(validated::INT) FILTER (variant = 'v2') AS pass_rate, count(*) FILTER (overall IS NULL) AS missing,
+      avg(purity) FILTER (variant = 'v2') AS purity, avg(faithfulness) FILTER (variant = 'v2') AS faith, avg(faithfulness) FILTER (variant = 'v1') AS faith_v1,
+      avg(quote_accurate::INT) FILTER (variant = 'v2') AS quote_accuracy, count(*) FILTER (variant = 'v2' AND refused) AS refusals FROM evaluation WHERE cohort <> 'edge')"""))
 def release_gate(spark, sf):
-    e = evaluation(spark, sf)
-    share = lambda c: F.avg(F.col(c).cast("int"))
-    row = e.where("cohort <> 'edge' AND variant = 'v2'").agg(
-        F.countDistinct("story_id").alias("threads"), share("validated").alias("pass_rate"), F.count_if(F.col("overall").isNull()).alias("missing"),
-        F.avg("purity").alias("purity"), F.avg("overall").alias("overall"), share("quote_accurate").alias("quote_accuracy"),
-    ).crossJoin(stats.story_deltas(e).agg(F.avg("delta").alias("delta")))
-    return stats.gate_checks(row, CHECKS)
+    """Nine of the ten checks; the tenth needs the seeded generator (release_gate_full)."""
+    return stats.gate_checks(gate_row(evaluation(spark, sf)), CHECKS)
 
 
-@query("bootstrap_bound")
-def bootstrap_bound(spark, sf):
-    """Lower bound of the mean paired difference, resampled with the seeded generator. The stories of one evaluation are few, which is checked; their means come to the driver."""
-    deltas = stats.story_deltas(evaluation(spark, sf)).cache()
+def bootstrap_of(e) -> tuple[int, float | None]:
+    deltas = stats.story_deltas(e).cache()
     if deltas.count() > stats.MAX_STORIES:
         raise ValueError(f"more than {stats.MAX_STORIES} stories in an evaluation")
     values = [r.delta for r in deltas.orderBy("story_id").collect()]
     deltas.unpersist()
-    return spark.createDataFrame([(len(values), stats.bootstrap_lower(values, 42))], "n int, lower double")
+    return len(values), stats.bootstrap_lower(values, 1)
+
+
+@query("release_gate_full")
+def release_gate_full(spark, sf):
+    """All ten checks, in order."""
+    e = evaluation(spark, sf)
+    row = gate_row(e).withColumn("lower", F.lit(bootstrap_of(e)[1]).cast("double"))
+    return stats.gate_checks(row, [*CHECKS[:2], ("bootstrap_95_lower", "lower > 0"), *CHECKS[2:]])
+
+
+@query("bootstrap_bound")
+def bootstrap_bound(spark, sf):
+    """Lower bound of the mean paired difference, resampled with the seeded generator. The stories of one evaluation are few, which is checked; their means come to the driver."""
+    return spark.createDataFrame([bootstrap_of(evaluation(spark, sf))], "n int, lower double")
 
 
-@query("candidate_gate", sql("runs", """SELECT model, count(*) AS n, count(*) FILTER (ok) >= count(*) - greatest(1, round(count(*) / 12.0)) AS validated, count(*) FILTER (error = 'timeout') < 2 AS few_errors,
-    list_sort(list(latency_ms))[1 + CAST(floor(0.95 * (count(*) - 1)) AS INT)] AS p95 FROM runs GROUP BY model"""))
+CANDIDATE = [
+    ("validated", "n - validated <= greatest(1, round(n / 12))"), ("provenance_failures", "provenance = 0"), ("http_413", "h413 = 0"), ("http_429_burst", "h429 < 2"), ("p95_latency_ms", "p95 <= 8000"),
+]
+
+
+@query("candidate_gate", sql("evaluation", " UNION ALL ".join(f"SELECT variant, '{n}' AS \"check\", coalesce({c}, false) AS passed FROM totals" for n, c in CANDIDATE), """totals AS (SELECT variant, count(*) AS n, count(*) FILTER (validated) AS validated,
+    count(*) FILTER (quote_accurate = false) AS provenance, count(*) FILTER (http_status = 413) AS h413, count(*) FILTER (http_status = 429) AS h429,
+    list_sort(list(latency_ms) FILTER (http_status = 200))[1 + CAST(floor(0.95 * (count(*) FILTER (http_status = 200) - 1)) AS INT)] AS p95 FROM evaluation GROUP BY variant)"""))
 def candidate_gate(spark, sf):
-    n = F.count("*")
-    return runs(spark, sf).groupBy("model").agg(
-        n.alias("n"), (F.count_if("ok") >= n - F.greatest(F.lit(1), F.round(n / 12))).alias("validated"), (F.count_if(F.col("error") == "timeout") < 2).alias("few_errors"), stats.floor_rank("latency_ms", 0.95).alias("p95")
-    )
+    """Five checks of each route. Latencies are of calls that went through; their percentile takes the value at floor(0.95 (n - 1))."""
+    fine = F.when(F.col("http_status") == 200, F.col("latency_ms"))
+    rows = evaluation(spark, sf).withColumn("fine", fine).groupBy("variant").agg(
+        F.count("*").alias("n"), F.count_if("validated").alias("validated"), F.count_if(F.col("quote_accurate") == F.lit(False)).alias("provenance"),
+        F.count_if(F.col("http_status") == 413).alias("h413"), F.count_if(F.col("http_status") == 429).alias("h429"), stats.floor_rank("fine", 0.95).alias("p95"),
+    )
+    return stats.gate_checks(rows, CANDIDATE, ["variant"])
 
 
 QUANTILES = (0.0, 0.05, 0.1, 0.5, 0.9, 1.0)
@@ -300,3 +331,45 @@ def blind_pairs(spark, sf):
     return evaluation(spark, sf).groupBy("story_id", "repeat").agg(of("v1"), of("v2"), F.count_if(F.col("overall").isNull()).alias("missing"))
 
 
+def canonical_sql() -> str:
+    return f"""SELECT story_id, count(*) AS included, max(used)::BIGINT AS chars FROM (SELECT story_id, length('[story id=' || story_id || ']' || chr(10) || 'comments:') +
+    sum(2 + length('[comment id=' || id || ' parent=' || parent || ' by=' || author || ']') + 1 + length({duck_line('text')})) OVER (PARTITION BY story_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM comments) WHERE used <= 3000 GROUP BY story_id"""
+
+
+@query("canonical_thread", sql("comments", canonical_sql()))
+def canonical_thread(spark, sf):
+    """How much of each thread, comment by comment in order, fits a prompt of 3000 characters."""
+    head = F.length(F.concat(F.lit("[story id="), "story_id", F.lit("]\ncomments:")))
+    block = F.length(F.concat(F.lit("[comment id="), "id", F.lit(" parent="), "parent", F.lit(" by="), t.single_line(F.col("author")), F.lit("]\n"), t.single_line(F.col("text")))) + 2
+    used = head + F.sum(block).over(Window.partitionBy("story_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return comments(spark, sf).withColumn("used", used).where("used <= 3000").groupBy("story_id").agg(F.count("*").alias("included"), F.max("used").alias("chars"))
+
+
+def threads_as_arrays(spark, sf):
+    c = comments(spark, sf).groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "author", "text"))).alias("c"))
+    return c.where(F.size("c") > 1)
+
+
+@query("render_cards")
+def render_cards(spark, sf):
+    """Cards whose bottom line is a thread's first comment, whose insights are the others and whose quote is the second."""
+    kinds = F.array(*map(F.lit, ("consensus", "dispute", "advice")))
+    insights = F.transform(F.slice(F.col("c"), F.lit(2), F.size("c")), lambda x: F.struct(F.get(kinds, (x["pos"] % 3).cast("int")).alias("kind"), F.substring(x["text"], 1, 200).alias("text")))
+    quoted = rd.quote(F.col("c")[1]["text"], F.col("c")[1]["author"], F.lit(None).cast("string"))
+    rows = threads_as_arrays(spark, sf).withColumn("p", rd.parts(F.substring(F.col("c")[0]["text"], 1, 300), insights, quoted))
+    return rows.select("story_id", F.length(rd.card(F.col("p"))).alias("chars"), F.sha2(rd.card(F.col("p")), 256).alias("sha"), rd.fold_label(F.col("p")).alias("label"))
+
+
+@query("fallback_cards")
+def fallback_cards(spark, sf):
+    card = rd.fallback_card(F.col("c"))
+    return threads_as_arrays(spark, sf).select("story_id", F.length(card).alias("chars"), F.sha2(card, 256).alias("sha"))
+
+
+@query("compress_hash", sql("comments", f"""SELECT story_id, sha256(string_agg(CASE WHEN pos = 0 THEN '' WHEN pos % 3 = 1 THEN 'Спор: ' WHEN pos % 3 = 2 THEN 'Совет: ' ELSE '' END || x, chr(10) ORDER BY pos)) AS hash
+    FROM (SELECT story_id, pos, {duck_line("text")} AS x FROM comments) WHERE pos = 0 OR x <> '' GROUP BY story_id HAVING count(*) > 1"""))
+def compress_hash(spark, sf):
+    """Hash of a compression's input: bottom line and insights as plain text."""
+    kinds = F.array(*map(F.lit, ("consensus", "dispute", "advice")))
+    insights = F.transform(F.slice(F.col("c"), F.lit(2), F.size("c")), lambda x: F.struct(F.get(kinds, (x["pos"] % 3).cast("int")).alias("kind"), t.single_line(x["text"]).alias("text")))
+    return threads_as_arrays(spark, sf).select("story_id", F.sha2(rd.insights_text(t.single_line(F.col("c")[0]["text"]), insights), 256).alias("hash"))

@@ -102,11 +102,14 @@ def share_bucket(spark, sf):
     return stories(spark, sf).select("id", g.share_hit(i, 30).alias("hit"), g.share_hit(i, 0).alias("none"), g.share_hit(i, 100).alias("every"))
 
 
-@query("route_tier", """SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) + 600 AS tokens, CASE WHEN doc_id % 100 >= 80 THEN 'legacy'
-    WHEN CAST(ceil(length(text) / 4.0) AS BIGINT) + 600 + 1200 < 2500 THEN 'short' WHEN CAST(ceil(length(text) / 4.0) AS BIGINT) + 600 + 1200 <= 4000 THEN 'medium' ELSE 'skip' END AS tier FROM documents""")
+@query("route_tier", """WITH t AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) + 600 AS tokens FROM documents),
+    k AS (SELECT *, CASE WHEN doc_id % 100 >= 80 THEN 'legacy' WHEN tokens + 1200 < 2500 THEN CASE WHEN doc_id % 9 = 0 THEN 'skip' ELSE 'short' END WHEN tokens + 1200 <= 4000 THEN 'medium' ELSE 'skip' END AS kind FROM t)
+    SELECT doc_id, tokens, kind, CASE kind WHEN 'legacy' THEN 'small' WHEN 'short' THEN 'small' WHEN 'medium' THEN 'medium' ELSE '' END AS model,
+    CASE kind WHEN 'legacy' THEN 'share-miss' WHEN 'short' THEN 'under-short-cap' WHEN 'medium' THEN 'under-medium-cap' ELSE CASE WHEN tokens + 1200 < 2500 THEN 'short-exhausted' ELSE 'over-medium-cap' END END AS reason FROM k""")
 def route_tier(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
-    return d.withColumn("tier", g.route(F.col("doc_id"), F.col("tokens"), 1200, 80, 2500, 4000))
+    spent = F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("small"))).otherwise(F.array().cast("array<string>"))
+    return d.select("doc_id", "tokens", g.route(F.col("doc_id"), F.col("tokens"), 1200, 80, 2500, 4000, exhausted=spent).alias("r")).select("doc_id", "tokens", "r.*")
 
 
 @query("substantive", sql("comments", f"""SELECT story_id, count(*) FILTER (length({duck_line('text')}) >= 80) AS substantive,
@@ -139,15 +142,15 @@ def compress_state(spark, sf):
 @query("guard_normalize", """WITH c AS (SELECT doc_id, quality = 1 AS ok, toxic = 0 AS art, doc_id % 13 = 0 AS refusal, (doc_id % 10) / 10.0 AS conf,
     CASE WHEN doc_id % 4 = 0 THEN 'off_topic' ELSE 'ok' END AS verdict FROM labels),
     f AS (SELECT *, ok AND art AND NOT refusal AND conf >= 0.6 AND NOT (verdict <> 'ok' AND conf >= 0.7) AS fine FROM c)
-    SELECT doc_id, fine AS ok, CASE WHEN fine THEN 'ok' WHEN refusal THEN 'refusal' WHEN NOT art THEN 'not_article' WHEN verdict <> 'ok' THEN verdict ELSE 'low_confidence' END AS verdict,
-    CASE WHEN doc_id % 2 = 0 THEN 'guard: a,guard: b' ELSE 'guard: b' END AS reasons FROM f""")
+    SELECT doc_id, fine AS ok, CASE WHEN fine THEN verdict WHEN NOT art THEN 'not_article' WHEN refusal THEN 'refusal' ELSE verdict END AS verdict,
+    array_to_string(list_filter([CASE WHEN NOT art THEN 'not_article' END, CASE WHEN refusal THEN 'refusal' END, CASE WHEN doc_id % 2 = 0 THEN 'a' END, 'b', 'c'], lambda x: x IS NOT NULL)[1:2], ',') AS reasons FROM f""")
 def guard_normalize(spark, sf):
     c = table(spark, sf, "labels").select(
         "doc_id",
         g.guard_verdict(
             F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 13 == 0, (F.col("doc_id") % 10) / F.lit(10.0),
             F.when(F.col("doc_id") % 4 == 0, F.lit("off_topic")).otherwise(F.lit("ok")),
-            F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, (" a", "a ", "", "b", "c")))).otherwise(F.array(F.lit("b"))),
+            F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, (" a", "a ", "", "b", "c")))).otherwise(F.array(F.lit("b"), F.lit("c"))),
         ).alias("v"),
     )
     return c.select("doc_id", "v.ok", "v.verdict", F.array_join("v.reasons", ",").alias("reasons"))

@@ -163,6 +163,9 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN (doc_id + repeat) % 13 = 0 THEN NULL ELSE 3.0 + (doc_id % 2) END").cast("double").alias("purity"),
         F.expr("(doc_id * 53 + v * 701) % 9000").alias("latency_ms"),
         F.expr("CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END").alias("quote_accurate"),
+        F.expr("CASE WHEN (doc_id + repeat) % 13 = 0 THEN NULL ELSE 4.0 + (doc_id + v) % 2 END").cast("double").alias("faithfulness"),
+        F.expr("(doc_id + repeat) % 13 <> 0 AND doc_id % 57 = 0 AND v = 1").alias("refused"),
+        F.expr("CASE WHEN doc_id % 97 = 0 THEN 429 WHEN doc_id % 101 = 0 THEN 413 ELSE 200 END").alias("http_status"),
     )
 
 
@@ -207,7 +210,9 @@ RELATIONS = {
         (doc_id + v) % 11 <> 0 AS validated,
         CASE WHEN (doc_id + repeat) % 13 = 0 THEN NULL ELSE CAST(2.0 + (doc_id * 7 + repeat + v * 3) % 3 + (v - 1) * 0.5 AS DOUBLE) END AS overall,
         CASE WHEN (doc_id + repeat) % 13 = 0 THEN NULL ELSE CAST(3.0 + (doc_id % 2) AS DOUBLE) END AS purity, (doc_id * 53 + v * 701) % 9000 AS latency_ms,
-        CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS quote_accurate
+        CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS quote_accurate,
+        CASE WHEN (doc_id + repeat) % 13 = 0 THEN NULL ELSE CAST(4.0 + (doc_id + v) % 2 AS DOUBLE) END AS faithfulness, (doc_id + repeat) % 13 <> 0 AND doc_id % 57 = 0 AND v = 1 AS refused,
+        CASE WHEN doc_id % 97 = 0 THEN 429 WHEN doc_id % 101 = 0 THEN 413 ELSE 200 END AS http_status
         FROM labels, generate_series(0, 1) AS g(repeat), generate_series(1, 2) AS h(v)""",
 }
 

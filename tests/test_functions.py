@@ -160,3 +160,37 @@ def test_search(spark):
     tags = F.array(F.lit("Rust"), F.lit("databases"))
     assert one(spark, se.tag_score(tags, ["rust", "data"])) == pytest.approx(0.95)
     assert one(spark, se.tag_score(tags, ["zzz"])) is None
+
+
+def test_cards(spark):
+    from brindle.functions import render as rd
+
+    insight = lambda k, x: F.struct(F.lit(k).alias("kind"), F.lit(x).alias("text"))
+    insights = F.array(insight("dispute", "Costs are too high."), insight("advice", "Use_less."), insight("consensus", "Costs are too high!"), insight("consensus", "Third point here."), insight("consensus", "Fourth thing there."))
+    quoted = rd.quote(F.lit("line one\n\nline *two*"), F.lit("@@ann"), F.lit(" "))
+    p = one(spark, rd.parts(F.lit("A bottom line."), insights, quoted))
+    assert p.lead == "A bottom line.\n"
+    assert p.visible == "- **Debate:** Costs are too high.\n- **Advice:** Use\\_less.\n- Third point here.\n"
+    assert p.folded == "- Fourth thing there.\n\n> line one\n>\n> line \\*two\\*\n> — @ann\n" and p.folded_insights == 1
+    label = rd.fold_label(F.struct(F.lit(1).alias("folded_insights"), F.lit(True).alias("folded_quote")), "ru")
+    assert one(spark, label) == "ещё 1 тезис (+ цитата)"
+    comments = F.array(*(F.struct(F.lit(a).alias("author"), F.lit(x).alias("text")) for a, x in (("u", "short"), ("v", "long " * 20), ("w", "more " * 20), ("x", "last " * 20))))
+    card = one(spark, rd.fallback_card(comments))
+    assert card.startswith("### From the discussion\n\n- **@v:** long") and card.count("\n- ") + card.count("\n\n- ") >= 2 and "last" not in card
+
+
+def test_routes(spark):
+    r = lambda i, n, **k: one(spark, g.route(F.lit(i), F.lit(n), 1000, 50, **k))
+    assert tuple(r(10, 1000)) == ("short", "small", "under-short-cap")
+    assert tuple(r(10, 6000)) == ("medium", "medium", "under-medium-cap")
+    assert tuple(r(10, 7001)) == ("skip", "", "over-medium-cap")
+    assert tuple(r(60, 1000)) == ("legacy", "small", "share-miss")
+    assert r(10, 1000, enabled=False).reason == "routes-off" and r(10, 6000, medium="").reason == "medium-empty"
+
+
+def test_guard(spark):
+    v = lambda *a: one(spark, g.guard_verdict(*map(F.lit, a[:5]), F.array(*map(F.lit, a[5]))))
+    assert tuple(v(True, True, False, 0.9, "ok", ["x"])) == (True, "ok", ["x"])
+    assert tuple(v(True, False, True, 0.9, "ok", ["x"])) == (False, "not_article", ["not_article", "refusal"])
+    assert tuple(v(True, True, False, 0.8, "other", [" a ", "a", "b", "c"])) == (False, "other", ["a", "b"])
+    assert v(True, True, False, 0.65, "other", ["a"]).ok
