@@ -162,10 +162,13 @@ def markdown_html(markdown: str) -> str:
     return "\n".join(out)
 
 
-def tidy_model_text(text: str, artifacts: tuple[str, ...] = ("<\u200c|begin▁of▁sentence|>",)) -> str:
+#: Fixed value: a token that a model may leave in its text.
+ARTIFACT = "<｜begin▁of▁sentence｜>"
+
+
+def tidy_model_text(text: str) -> str:
     """Without artifacts; outside code fences more than two trailing blanks become two."""
-    for a in artifacts:
-        text = text.replace(a, "")
+    text = re.sub(r"\r\n?", "\n", text).replace(ARTIFACT, "")
     out, fenced = [], False
     for line in text.split("\n"):
         fenced ^= line.lstrip().startswith("```")

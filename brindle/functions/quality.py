@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +70,12 @@ def longest_run(items: Column) -> Column:
 
 def instruction_score(low: Column) -> Column:
     """2 for a strong phrase, 1 for each weak one up to 2 in all of those."""
-    padded = F.concat(F.lit(" "), single_line(F.regexp_replace(low, r"[^\s\x{00A0}\x{FEFF}\p{L}\p{N}]", " ")), F.lit(" "))
-    weak = sum((padded.contains(f" {p} ").cast("int") for p in INSTRUCTION_WEAK), F.lit(0))
-    return F.when(any_of(padded, tuple(f" {p} " for p in INSTRUCTION_STRONG)), F.lit(2)).otherwise(F.lit(0)) + F.least(weak, F.lit(2))
+
+    def score(padded: Column) -> Column:
+        weak = sum((padded.contains(f" {p} ").cast("int") for p in INSTRUCTION_WEAK), F.lit(0))
+        return F.when(any_of(padded, tuple(f" {p} " for p in INSTRUCTION_STRONG)), F.lit(2)).otherwise(F.lit(0)) + F.least(weak, F.lit(2))
+
+    return let(F.concat(F.lit(" "), single_line(F.regexp_replace(low, r"[^\s\x{00A0}\x{FEFF}\p{L}\p{N}]", " ")), F.lit(" ")), score)
 
 
 def cyrillic_ratio(text: Column) -> Column:
@@ -85,43 +90,63 @@ def apology_refusal(low: Column) -> Column:
     return F.exists(sentences, lambda s: any_of(s, APOLOGY) & any_of(s, INABILITY))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def triggers(text: Column, kind: str = "post", least_chars: int = 120, language_flags: tuple[Column, Column] | None = None) -> Column:
     """Reasons against a summary in their fixed order; a reason may come twice. language_flags: low ratio and Latin prose, for Russian texts."""
-    s = trimmed(text)
-    low, w, lines = F.lower(s), words(s), F.split(s, r"\r?\n")
-    lower = F.transform(w, F.lower)
-    n, chars, n_lines = F.size(w), F.length(s), F.size(lines)
-    stripped = F.transform(lines, trimmed)
-    percent = F.regexp_count(s, F.lit("(?i)%[0-9a-f]{2}"))
-    bare = F.size(F.filter(stripped, lambda x: x.rlike(r"^\\?[-–—•]{1,4}$")))
-    heading = F.size(F.filter(stripped, lambda x: x.rlike(r"^#+\s*[0-9./\- \t]*[0-9][0-9./\- \t]*$")))
-    content = F.size(F.filter(stripped, lambda x: x != ""))
     reason = lambda cond, name: F.when(cond, F.lit(name))
-    found = [
-        reason(chars < least_chars, "too_short"),
-        reason(n < 25, "too_few_words"),
-        reason(F.forall(lines, lambda x: F.ltrim(x).startswith("- ")) if kind != "comments" else F.lit(False), "bullets_only"),
-        reason(any_of(low, REFUSAL), "refusal"),
-        reason(apology_refusal(low), "refusal"),
-        reason(any_of(low, POLICY), "policy"),
-        reason(any_of(low, GENERIC), "generic"),
-        reason(any_of(low, META), "meta_instructions"),
-        reason(any_of(low, CONTENT_FREE), "content_free"),
-        reason(s.contains("<|"), "artifact"),
-        reason(s.contains("```"), "artifact"),
-        reason(s.startswith("{") | s.startswith("["), "artifact"),
-        reason(low.contains("http://") | low.contains("https://"), "contains_url"),
-        reason((n >= 20) & (longest_run(lower) >= 8), "repetition_run"),
-        reason((n >= 80) & (F.size(F.array_distinct(lower)) / n < 0.2), "low_unique_ratio"),
-        reason((percent >= 8) & (percent / chars >= 0.05), "url_encoded_noise"),
-        reason((bare >= 10) & (bare / n_lines >= 0.9), "bare_bullets"),
-        reason(instruction_score(low) >= 2, "prompt_instructions"),
-        reason((heading >= 3) & (content > 0) & (heading / content >= 0.8), "numeric_headings"),
-    ]
-    if language_flags is not None:
-        found += [reason(language_flags[0], "low_cyrillic_ratio"), reason(language_flags[1], "latin_prose")]
-    empty = text.isNull() | (s == "")
-    return F.when(empty, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*found)))
+
+    def of_parts(v: Column) -> Column:
+        s, low, w, lines = v["s"], v["low"], v["w"], v["lines"]
+        stripped = F.transform(lines, trimmed)
+        return F.struct(
+            F.size(w).alias("n"),
+            F.length(s).alias("chars"),
+            F.size(lines).alias("n_lines"),
+            F.regexp_count(s, F.lit("(?i)%[0-9a-f]{2}")).alias("percent"),
+            F.size(F.filter(stripped, lambda x: x.rlike(r"^\\?[-–—•]{1,4}$"))).alias("bare"),
+            F.size(F.filter(stripped, lambda x: x.rlike(r"^#+\s*[0-9./\- \t]*[0-9][0-9./\- \t]*$"))).alias("heading"),
+            F.size(F.filter(stripped, lambda x: x != "")).alias("content"),
+            F.when(F.size(w) >= 20, longest_run(w)).alias("run"),
+            F.when(F.size(w) >= 80, F.size(F.array_distinct(w))).alias("distinct"),
+        )
+
+    def reasons(v: Column, m: Column) -> Column:
+        s, low = v["s"], v["low"]
+        found = [
+            reason(m["chars"] < least_chars, "too_short"),
+            reason(m["n"] < 25, "too_few_words"),
+            reason(F.forall(v["lines"], lambda x: F.ltrim(x).startswith("- ")) if kind != "comments" else F.lit(False), "bullets_only"),
+            reason(any_of(low, REFUSAL), "refusal"),
+            reason(apology_refusal(low), "refusal"),
+            reason(any_of(low, POLICY), "policy"),
+            reason(any_of(low, GENERIC), "generic"),
+            reason(any_of(low, META), "meta_instructions"),
+            reason(any_of(low, CONTENT_FREE), "content_free"),
+            reason(s.contains("<|"), "artifact"),
+            reason(s.contains("```"), "artifact"),
+            reason(s.startswith("{") | s.startswith("["), "artifact"),
+            reason(low.contains("http://") | low.contains("https://"), "contains_url"),
+            reason(m["run"] >= 8, "repetition_run"),
+            reason(m["distinct"] / m["n"] < 0.2, "low_unique_ratio"),
+            reason((m["percent"] >= 8) & (m["percent"] / m["chars"] >= 0.05), "url_encoded_noise"),
+            reason((m["bare"] >= 10) & (m["bare"] / m["n_lines"] >= 0.9), "bare_bullets"),
+            reason(instruction_score(low) >= 2, "prompt_instructions"),
+            reason((m["heading"] >= 3) & (m["content"] > 0) & (m["heading"] / m["content"] >= 0.8), "numeric_headings"),
+        ]
+        if language_flags is not None:
+            found += [reason(language_flags[0], "low_cyrillic_ratio"), reason(language_flags[1], "latin_prose")]
+        return F.array_compact(F.array(*found))
+
+    def of_text(s: Column) -> Column:
+        parts = F.struct(s.alias("s"), F.lower(s).alias("low"), F.transform(words(s), F.lower).alias("w"), F.split(s, r"\r?\n").alias("lines"))
+        checked = let(parts, lambda v: let(of_parts(v), lambda m: reasons(v, m)))
+        return F.when(s == "", F.array(F.lit("empty"))).otherwise(checked)
+
+    return let(trimmed(F.coalesce(text, F.lit(""))), of_text)
 
 
 def drops(reasons: Column) -> Column:
@@ -147,17 +172,33 @@ NO_SPACE = r"[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FF
 
 def extract_metrics(markdown: Column) -> Column:
     """struct(prose_chars, link_density, dup_ratio, phrase_dup_ratio, word_count, lines) of an article extract."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), trimmed), lambda x: x != "")
-    no_space = lambda x: F.regexp_count(x, F.lit(NO_SPACE))
-    count = lambda x: F.size(words(x)) + F.ceil(no_space(x) / 2).cast("int")
-    total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + count(x))
-    prose = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.when((count(x) >= 12) & ~x.rlike("^[#>|]"), F.length(x) + no_space(x) * 2).otherwise(0))
-    links = F.size(F.split(markdown, r"\]\(", -1)) - 1
-    density = F.when(total > 0, links / total).when(links > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    phrases = F.transform(F.regexp_extract_all(F.regexp_replace(markdown, "(?m)^#.*$", " "), F.lit(r"[^.!?…\n]+[.!?…]+"), F.lit(0)), trimmed)
-    phrases = F.filter(phrases, lambda p: F.size(words(p)) >= 5)
     dup = lambda xs: F.when(F.size(xs) > 0, 1 - F.size(F.array_distinct(xs)) / F.size(xs)).otherwise(F.lit(0.0))
-    return F.struct(prose.alias("prose_chars"), density.alias("link_density"), dup(lines).alias("dup_ratio"), dup(phrases).alias("phrase_dup_ratio"), total.alias("word_count"), F.size(lines).alias("lines"))
+
+    def measured(x: Column) -> Column:
+        return let(F.regexp_count(x, F.lit(NO_SPACE)), lambda k: F.struct(x.alias("x"), k.alias("k"), (F.size(words(x)) + F.ceil(k / 2).cast("int")).alias("n")))
+
+    def of_parts(v: Column) -> Column:
+        total = F.aggregate(v["lines"], F.lit(0), lambda acc, r: acc + r["n"])
+        prose = F.aggregate(v["lines"], F.lit(0), lambda acc, r: acc + F.when((r["n"] >= 12) & ~r["x"].rlike("^[#>|]"), F.length(r["x"]) + r["k"] * 2).otherwise(0))
+        links = F.size(F.split(v["md"], r"\]\(", -1)) - 1
+        return let(
+            total,
+            lambda n: F.struct(
+                prose.alias("prose_chars"),
+                F.when(n > 0, links / n).when(links > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("link_density"),
+                dup(F.transform(v["lines"], lambda r: r["x"])).alias("dup_ratio"),
+                dup(v["phrases"]).alias("phrase_dup_ratio"),
+                n.alias("word_count"),
+                F.size(v["lines"]).alias("lines"),
+            ),
+        )
+
+    lines = F.transform(F.filter(F.transform(F.split(markdown, "\n"), trimmed), lambda x: x != ""), measured)
+    # a phrase can only start where a run of other signs starts; saying so keeps runs without an end from being tried at every place
+    phrase = r"(?<![^.!?…\n])[^.!?…\n]++[.!?…]+"
+    found = F.transform(F.regexp_extract_all(F.regexp_replace(markdown, "(?m)^#.*$", " "), F.lit(phrase), F.lit(0)), trimmed)
+    phrases = F.filter(found, lambda p: F.size(words(p)) >= 5)
+    return let(F.struct(markdown.alias("md"), lines.alias("lines"), phrases.alias("phrases")), of_parts)
 
 
 def is_article(metrics: Column, least_prose: int = 500, most_links: float = 0.5, most_dup: float = 0.5) -> Column:

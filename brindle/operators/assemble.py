@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import ARTIFACT
+from ..functions.quality import drops, triggers
 from ..functions.text import host, single_line, trimmed
 from .gates import AGGREGATE_FLOOR, has_summary, passes_gate, zero
 
@@ -33,6 +35,16 @@ def comments_text(compressed: Column, state: Column, persisted: Column, has_pers
     return F.when(state == "usable", compressed).when(has_persisted, persisted).otherwise(fallback)
 
 
+def sanitized(summary: Column, guard_ok: Column | None = None, artifact: str = ARTIFACT) -> Column:
+    """A summary without artifact and outer blanks; null if nothing is left, its guard refused it, or a trigger says to drop it.
+
+    Summaries of the relational store have no guard and another artifact, the replacement character.
+    """
+    clean = trimmed(F.replace(F.coalesce(summary, F.lit("")), F.lit(artifact)))
+    refused = F.lit(False) if guard_ok is None else guard_ok.eqNullSafe(F.lit(False))
+    return F.when((clean != "") & ~refused & ~drops(triggers(clean)), clean)
+
+
 def published(stories: DataFrame, summaries: DataFrame, tags: DataFrame, least_score: int = 300, least_comments: int = 100, floor: int = AGGREGATE_FLOOR) -> DataFrame:
     """The collection: stories above the floor and the gate with a summary that stays, with domain, tags and comments' text.
 
@@ -40,7 +52,7 @@ def published(stories: DataFrame, summaries: DataFrame, tags: DataFrame, least_s
     story before the joins, all on the story id.
     """
     kept = stories.where((zero(F.col("score")) >= floor) & passes_gate(F.col("score"), F.col("descendants"), least_score, least_comments))
-    post = summaries.where("kind = 'post' AND coalesce(guard_ok, true)").select("story_id", trimmed(F.col("summary")).alias("post"))
+    post = summaries.where("kind = 'post'").select("story_id", sanitized(F.col("summary"), F.col("guard_ok")).alias("post"))
     comments = summaries.where("kind = 'comments'").select("story_id", F.col("summary").alias("comments_text"))
     rows = kept.join(post.withColumnRenamed("story_id", "id"), "id").where(has_summary(F.col("post")))
     rows = rows.join(comments.withColumnRenamed("story_id", "id"), "id", "left").join(tag_lists(tags).withColumnRenamed("story_id", "id"), "id", "left")

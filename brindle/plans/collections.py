@@ -16,11 +16,12 @@ from ..operators import gates as g
 from ..operators import state as st
 from .filters import GATE, HOST, duck_line, duck_trim, duck_words
 from .tables import comments, query, sql, state, stories, story_tags, summaries, table, usage
+from .texts import DROP_LIST, trigger_sql
 
 TS = "try_strptime(time_iso, '%Y-%m-%dT%H:%M:%S.000Z')"
 TAG_LIST = "taglists AS (SELECT story_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS tags FROM (SELECT story_id, list(tag ORDER BY pos) AS l FROM story_tags GROUP BY story_id))"
-PUBLISHED = f"""{TAG_LIST}, published AS (SELECT s.*, {duck_trim('m.summary')} AS post, c.summary AS comments_text, tags, {HOST} AS domain, {TS} AS ts
-    FROM stories s JOIN summaries m ON m.story_id = s.id AND m.kind = 'post' AND coalesce(m.guard_ok, true) LEFT JOIN summaries c ON c.story_id = s.id AND c.kind = 'comments'
+PUBLISHED = f"""{TAG_LIST}, {trigger_sql("SELECT story_id, summary AS raw FROM summaries WHERE kind = 'post'", "story_id")}, published AS (SELECT s.*, {duck_trim('m.summary')} AS post, c.summary AS comments_text, tags, {HOST} AS domain, {TS} AS ts
+    FROM stories s JOIN summaries m ON m.story_id = s.id AND m.kind = 'post' AND coalesce(m.guard_ok, true) JOIN found f ON f.story_id = s.id AND NOT list_has_any(f.reasons, {DROP_LIST}) LEFT JOIN summaries c ON c.story_id = s.id AND c.kind = 'comments'
     LEFT JOIN taglists x ON x.story_id = s.id WHERE coalesce(score, 0) >= 75 AND {GATE} AND {duck_trim('m.summary')} <> '')"""
 NEEDS = "stories summaries story_tags"
 
@@ -51,6 +52,13 @@ def assemble_db(spark, sf):
     return stories(spark, sf).join(p, F.col("id") == F.col("story_id"), "left").select("id", F.length("post").alias("post"), F.length("comments").alias("comments"))
 
 
+@query("sanitize_stored", sql("summaries", f"SELECT m.story_id, sha256({duck_trim('m.summary')}) AS sha FROM summaries m JOIN found f ON f.story_id = m.story_id AND NOT list_has_any(f.reasons, {DROP_LIST}) WHERE m.kind = 'post'", trigger_sql("SELECT story_id, summary AS raw FROM summaries WHERE kind = 'post'", "story_id")))
+def sanitize_stored(spark, sf):
+    """Post summaries of the relational store, which has no guard: replacement characters go, triggers drop."""
+    m = summaries(spark, sf).where("kind = 'post'").select("story_id", a.sanitized(F.concat("summary", F.lit("\ufffd")), None, "\ufffd").alias("post"))
+    return m.where("post IS NOT NULL").select("story_id", F.sha2("post", 256).alias("sha"))
+
+
 @query("publish_order", sql("stories", f"SELECT id FROM (SELECT id, {TS} AS ts FROM stories) ORDER BY ts DESC NULLS LAST, id DESC LIMIT 40"))
 def publish_order(spark, sf):
     """The newest forty, a top-k report."""
