@@ -1,6 +1,7 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-Texts become log-scaled, idf-weighted byte n-gram counts, projected on the leading singular vectors
+Texts become idf-weighted shares of byte n-grams and of two terms for repetition (words equal to the one
+before, lines seen before), projected on the leading singular vectors
 of a bounded labelled sample (`per_label` rows of each label) and normalised. The sample's vectors
 and the projection are broadcast: their size is fixed by the parameters. Every document's cosines to
 all labelled vectors are computed exactly, a block of documents at a time; the `neighbours` nearest
@@ -11,22 +12,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, rows_of
 from .ngrams import BUCKETS, blocks, counts_of, in_order, sample
 
 SIZES = (1, 2, 3)
+#: What a repeated word, and a byte of a repeated line, count against n-grams: about as many as start in them.
+WORD_WEIGHT, BYTE_WEIGHT = 18.0, 3.0
 
 
 @dataclass
 class QualityModel:
     idf: np.ndarray
-    axes: np.ndarray  # [BUCKETS, dim]
+    axes: np.ndarray  # [terms, dim]
     vectors: np.ndarray  # [labelled, dim], normalised
     labels: np.ndarray
     weights: np.ndarray  # of each labelled row, so that a label's votes follow its share
@@ -51,6 +55,22 @@ class QualityModel:
         return np.clip(out, 0, 1)
 
 
+def repetition(text: bytes) -> tuple[float, float]:
+    """Weights of words equal to the one before them, and of lines that the text had before."""
+    words = text.split()
+    seen, again = set(), 0
+    for line in text.split(b"\n"):
+        if line in seen:
+            again += len(line)
+        seen.add(line)
+    return WORD_WEIGHT * sum(map(eq, words, words[1:])), BYTE_WEIGHT * again
+
+
+def terms(counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """[rows, BUCKETS + 2]: n-gram counts and the terms for repetition."""
+    return np.concatenate((counts, np.array([repetition(t) for t in texts], np.float32).reshape(-1, 2)), axis=1)
+
+
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Shares of a text's n-grams, square-rooted and idf-weighted: long and short texts compare."""
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
@@ -60,8 +80,8 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def fit(texts: list[str | None], labels: list[int], prior: float, dim: int = 48, neighbours: int = 15) -> QualityModel:
     y = np.array(labels, float)
     if not len(y):
-        return QualityModel(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), y, y, neighbours, prior)
-    counts = counts_of(texts, SIZES, False)
+        return QualityModel(np.ones(BUCKETS + 2, np.float32), np.zeros((BUCKETS + 2, 1), np.float32), np.zeros((0, 1), np.float32), y, y, neighbours, prior)
+    counts = terms(counts_of(texts, SIZES, False), [(t or "").encode() for t in texts])
     idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = weigh(counts, idf)
     values, left = np.linalg.eigh(x @ x.T)  # singular vectors of the sample, through its small Gram matrix
@@ -96,7 +116,11 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
         m = shared.value
         for batch in batches:
             names = batch.schema.names
-            score = np.concatenate([np.zeros(0)] + [m.scores(c) for c in blocks(batch.column(names.index("text")), SIZES, False)])
+            texts, scored, at = rows_of(batch, "text"), [np.zeros(0)], 0
+            for counts in blocks(batch.column(names.index("text")), SIZES, False):
+                scored.append(m.scores(terms(counts, texts[at : at + len(counts)])))
+                at += len(counts)
+            score = np.concatenate(scored)
             new = {c: batch.column(k) for k, c in enumerate(names) if c != "text" or "text" in keep}
             new |= {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays(list(new.values()), list(new))

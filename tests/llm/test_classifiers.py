@@ -68,7 +68,7 @@ def test_neighbours_are_exact():
     texts = ["".join(rng.choice(list("abc !$")) for _ in range(60)) for _ in range(60)]
     labels = [i % 2 for i in range(60)]
     model = quality.fit(texts[:40], labels[:40], 0.5, dim=8, neighbours=5)
-    counts = counts_of(texts[40:], quality.SIZES, False)
+    counts = quality.terms(counts_of(texts[40:], quality.SIZES, False), [t.encode() for t in texts[40:]])
     v = model.embed(counts)
     for row, got in zip(v, model.scores(counts)):
         cosine = model.vectors @ row
@@ -77,6 +77,11 @@ def test_neighbours_are_exact():
         assert got == pytest.approx((vote * model.labels[near]).sum() / vote.sum(), rel=1e-4)
 
 
+def test_repetition():
+    assert quality.repetition(b"a a b\na a b\n") == (2 * quality.WORD_WEIGHT, 5 * quality.BYTE_WEIGHT)
+    assert quality.repetition(b"") == (0, 0)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(i, ("clean text here " if i % 2 else "$$$ ### !!! ") * 5, 1, 2) for i in range(40)] + [(40, None, 1, 2), (41, "", 1, 2), (41, "", 1, 2), (None, "x" * 200_000, 1, 2)], "doc_id long, text string, quality int, predicted int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None), (99, 1)], "doc_id long, quality int")
