@@ -141,13 +141,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - shift
 
 
-def bit_tree(counts: np.ndarray) -> np.ndarray:
-    """[contexts, 512]: counts of a byte's leading bits. Entry 1 is all bytes, 2k and 2k + 1 those that go on from k by 0 and 1."""
-    tree = np.zeros((len(counts), 512))
-    tree[:, 256:] = counts
-    for k in range(255, 0, -1):
-        tree[:, k] = tree[:, 2 * k] + tree[:, 2 * k + 1]
-    return tree
+def choice_counts(sums: np.ndarray, choices: np.ndarray) -> np.ndarray:
+    """[contexts, choices, 2]: how often a bit was 0 and 1, from sums over the bytes below each byte.
+
+    Choice 1 is that of the first bit; 2k and 2k + 1 are those after choice k fell to 0 and to 1.
+    """
+    level = np.array([int(k).bit_length() - 1 for k in choices])
+    low, half = (choices - (1 << level)) << (8 - level), 1 << (7 - level)
+    return np.stack((sums[:, low + half] - sums[:, low], sums[:, low + 2 * half] - sums[:, low + half]), axis=2)
+
+
+def sums_below(counts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(counts), 257))
+    np.cumsum(counts, axis=1, out=out[:, 1:])
+    return out
 
 
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -185,17 +192,19 @@ def log_table(kept: list[np.ndarray], codes: np.ndarray, n: np.ndarray) -> np.nd
     whole = np.zeros((base[-1], 256))
     whole.ravel()[codes] = n
     up = [np.zeros(1, np.int64)] + [find(kept[d - 1], kept[d] >> 8) for d in range(1, DEPTH + 1)]
-    counts = [whole[base[d] : base[d + 1]] for d in range(DEPTH + 1)]
-    left = [c.copy() for c in counts]
-    for d in range(DEPTH):
-        np.subtract.at(left[d], up[d + 1], counts[d + 1])
-    left[DEPTH][:] = 0
-    trees, rests = [bit_tree(c) for c in counts], [bit_tree(c) for c in left]
+    own = sums_below(whole)
+    whole[base[DEPTH] :] = 0
+    for d in range(DEPTH):  # what is left without the kept contexts one byte longer
+        longer = own[base[d + 1] : base[d + 2]]
+        np.subtract.at(whole, up[d + 1] + base[d], np.diff(longer, axis=1))
+    rest = sums_below(whole)
+    del whole
     p = np.zeros((base[-1], 256), np.float32)  # of choice k, that its bit is 1
-    for k in range(1, 256, 32):  # choices don't depend on each other
-        part = lambda t: np.stack((t[:, 2 * k : 2 * min(k + 32, 256) : 2], t[:, 2 * k + 1 : 2 * min(k + 32, 256) : 2]), axis=2)  # noqa: B023, E731
-        p[:, k : k + 32] = np.concatenate(_tree_probabilities(up, [part(t) for t in trees], [part(t) for t in rests]))
-    del trees, rests
+    for k in range(1, 256, 16):  # choices don't depend on each other
+        some = np.arange(k, min(k + 16, 256))
+        split = lambda sums: np.split(choice_counts(sums, some), base[1:-1])  # noqa: B023, E731
+        p[:, some] = np.concatenate(_tree_probabilities(up, split(own), split(rest)))
+    del own, rest
     table = np.empty((len(p), 256), np.float32)
     for k in range(0, len(p), 1024):  # a path's product, for some contexts at a time
         tree, some = np.zeros((len(p[k : k + 1024]), 512)), p[k : k + 1024].astype(float)
