@@ -40,7 +40,7 @@ def test_language_held_out(spark):
 def test_language_edges(spark):
     learn = spark.createDataFrame([(i, "the cat and the dog " * 3, "en") for i in range(20)] + [(i, "der hund und die katze " * 3, "de") for i in range(20, 40)] + [(50, None, "en"), (51, "x", None)], "doc_id long, text string, lang string")
     docs = spark.createDataFrame([(1, None, 1, 2), (2, "", 1, 2), (3, "123 !?", 1, 2), (4, "the dog", 1, 2), (5, "die katze", 1, 2), (6, "a", 1, 2), (6, "a", 1, 2), (None, "the " * 50_000, 1, 2)], "doc_id long, text string, score int, _text int")
-    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id(spark, docs.drop("_text"), learn).collect()]
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id(spark, docs, learn).collect()]
     by = {i: (p, s) for i, p, s in got}
     assert by[1] == by[2] == by[3] == ("und", 0.0) and by[4][0] == "en" and by[5][0] == "de" and by[None][0] == "en"
     assert len(got) == 8 and by[6][0] in ("en", "de")
@@ -85,8 +85,8 @@ def test_repetition():
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(i, ("clean text here " if i % 2 else "$$$ ### !!! ") * 5, 1, 2) for i in range(40)] + [(40, None, 1, 2), (41, "", 1, 2), (41, "", 1, 2), (None, "x" * 200_000, 1, 2)], "doc_id long, text string, quality int, predicted int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None), (99, 1)], "doc_id long, quality int")
-    got = quality_scores(spark, docs.drop("quality", "predicted"), labels).collect()
+    got = quality_scores(spark, docs, labels).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == 44 and all(by[i].predicted == i % 2 for i in range(40)) and 0 <= by[40].score <= 1
     assert quality_scores(spark, docs.limit(0), labels).collect() == []
-    assert {r.score for r in quality_scores(spark, docs.drop("quality", "predicted"), labels.limit(0)).collect()} == {0.5}
+    assert {r.score for r in quality_scores(spark, docs, labels.limit(0)).collect()} == {0.5}
