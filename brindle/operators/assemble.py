@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import ARTIFACT
 from ..functions.quality import drops, triggers
 from ..functions.text import host, single_line, trimmed
-from .gates import AGGREGATE_FLOOR, has_summary, passes_gate, zero
+from .gates import AGGREGATE_FLOOR, passes_gate, zero
 
 
 def pivot_summaries(summaries: DataFrame, langs: tuple[str, ...] = ("en",)) -> DataFrame:
@@ -35,14 +37,15 @@ def comments_text(compressed: Column, state: Column, persisted: Column, has_pers
     return F.when(state == "usable", compressed).when(has_persisted, persisted).otherwise(fallback)
 
 
-def sanitized(summary: Column, guard_ok: Column | None = None, artifact: str = ARTIFACT) -> Column:
-    """A summary without artifact and outer blanks; null if nothing is left, its guard refused it, or a trigger says to drop it.
+def cleaned(summary: Column, artifact: str = ARTIFACT) -> Column:
+    """A summary without artifact and outer blanks. The relational store's artifact is the replacement character."""
+    return trimmed(F.replace(F.coalesce(summary, F.lit("")), F.lit(artifact)))
 
-    Summaries of the relational store have no guard and another artifact, the replacement character.
-    """
-    clean = trimmed(F.replace(F.coalesce(summary, F.lit("")), F.lit(artifact)))
+
+def stays(clean: Column, guard_ok: Column | None = None) -> Column:
+    """Whether a cleaned summary may be shown: something is left, its guard (if there is one) let it pass, and no trigger says to drop it."""
     refused = F.lit(False) if guard_ok is None else guard_ok.eqNullSafe(F.lit(False))
-    return F.when((clean != "") & ~refused & ~drops(triggers(clean)), clean)
+    return (clean != "") & ~refused & ~drops(triggers(clean))
 
 
 def published(stories: DataFrame, summaries: DataFrame, tags: DataFrame, least_score: int = 300, least_comments: int = 100, floor: int = AGGREGATE_FLOOR) -> DataFrame:
@@ -52,9 +55,9 @@ def published(stories: DataFrame, summaries: DataFrame, tags: DataFrame, least_s
     story before the joins, all on the story id.
     """
     kept = stories.where((zero(F.col("score")) >= floor) & passes_gate(F.col("score"), F.col("descendants"), least_score, least_comments))
-    post = summaries.where("kind = 'post'").select("story_id", sanitized(F.col("summary"), F.col("guard_ok")).alias("post"))
+    post = summaries.where("kind = 'post'").where(stays(cleaned(F.col("summary")), F.col("guard_ok"))).select("story_id", cleaned(F.col("summary")).alias("post"))
     comments = summaries.where("kind = 'comments'").select("story_id", F.col("summary").alias("comments_text"))
-    rows = kept.join(post.withColumnRenamed("story_id", "id"), "id").where(has_summary(F.col("post")))
+    rows = kept.join(post.withColumnRenamed("story_id", "id"), "id")
     rows = rows.join(comments.withColumnRenamed("story_id", "id"), "id", "left").join(tag_lists(tags).withColumnRenamed("story_id", "id"), "id", "left")
     return rows.withColumn("domain", host(F.col("url"))).withColumn("comments_count", F.col("descendants"))
 
@@ -64,6 +67,20 @@ def newest_first(ts: Column, row_id: Column) -> list[Column]:
     return [ts.desc_nulls_last(), row_id.desc()]
 
 
+def placed(items: DataFrame, bucket: Column, bucket_order: Callable[[Column], Column], order: list[Column]) -> DataFrame:
+    """Adds place (from 1) in the whole order and total, without sorting all rows in one task.
+
+    order sorts by bucket first; rows are numbered within buckets (a day, say), and buckets' sizes, one row each, are summed up.
+    """
+    rows = items.withColumn("_b", bucket)
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    sizes = numbered.groupBy("_b").agg(F.max("_n").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy(bucket_order(F.col("_b"))).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_b").alias("_o"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("total"))
+    both = numbered.join(offsets, F.col("_b").eqNullSafe(F.col("_o")))
+    return both.withColumn("place", (F.col("_before") + F.col("_n")).cast("int")).drop("_b", "_o", "_n", "_before")
+
+
 def search_index(items: DataFrame) -> DataFrame:
     """What the search page loads of each item; the domain only where there is one."""
     return items.select("id", "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "time_iso", zero(F.col("score")).alias("score"), "domain")
@@ -71,7 +88,5 @@ def search_index(items: DataFrame) -> DataFrame:
 
 def grouped_ids(items: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """(key, pos, id): ids of each day or week in collection order, as rows; a key's list is made only on export."""
-    from pyspark.sql import Window
-
     keyed = items.withColumn("key", key)
     return keyed.select("key", (F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1).alias("pos"), "id")

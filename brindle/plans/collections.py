@@ -34,14 +34,18 @@ def collection(spark, sf):
     return a.published(stories(spark, sf), summaries(spark, sf), story_tags(spark, sf)).withColumn("ts", ts())
 
 
+def in_places(spark, sf):
+    """The collection with places: newest day first, items without a time last."""
+    return a.placed(collection(spark, sf), F.to_date("ts"), lambda b: b.desc_nulls_last(), a.newest_first(F.col("ts"), F.col("id")))
+
+
 @query("assemble_publish", sql(NEEDS, "SELECT id, title, domain, array_to_string(tags, ',') AS tags, length(post) AS post_chars, length(comments_text) AS comments_chars, coalesce(score, 0) AS score, descendants AS comments_count, row_number() OVER (ORDER BY ts DESC NULLS LAST, id DESC) AS place FROM published", PUBLISHED))
 def assemble_publish(spark, sf):
     """The flagship: the collection in published order."""
-    items = collection(spark, sf)
-    order = Window.orderBy(*a.newest_first(F.col("ts"), F.col("id")))  # of the published items only, which a site lists whole
+    items = in_places(spark, sf)
     return items.select(
         "id", "title", "domain", F.array_join("tags", ",").alias("tags"), F.length("post").alias("post_chars"), F.length("comments_text").alias("comments_chars"),
-        g.zero(F.col("score")).alias("score"), "comments_count", F.row_number().over(order).alias("place"),
+        g.zero(F.col("score")).alias("score"), "comments_count", "place",
     )
 
 
@@ -55,8 +59,8 @@ def assemble_db(spark, sf):
 @query("sanitize_stored", sql("summaries", f"SELECT m.story_id, sha256({duck_trim('m.summary')}) AS sha FROM summaries m JOIN found f ON f.story_id = m.story_id AND NOT list_has_any(f.reasons, {DROP_LIST}) WHERE m.kind = 'post'", trigger_sql("SELECT story_id, summary AS raw FROM summaries WHERE kind = 'post'", "story_id")))
 def sanitize_stored(spark, sf):
     """Post summaries of the relational store, which has no guard: replacement characters go, triggers drop."""
-    m = summaries(spark, sf).where("kind = 'post'").select("story_id", a.sanitized(F.concat("summary", F.lit("\ufffd")), None, "\ufffd").alias("post"))
-    return m.where("post IS NOT NULL").select("story_id", F.sha2("post", 256).alias("sha"))
+    clean = a.cleaned(F.concat("summary", F.lit("\ufffd")), "\ufffd")
+    return summaries(spark, sf).where("kind = 'post'").where(a.stays(clean)).select("story_id", F.sha2(clean, 256).alias("sha"))
 
 
 @query("publish_order", sql("stories", f"SELECT id FROM (SELECT id, {TS} AS ts FROM stories) ORDER BY ts DESC NULLS LAST, id DESC LIMIT 40"))
@@ -118,10 +122,8 @@ def tag_pages(spark, sf):
 @query("page_n", sql(NEEDS, "SELECT id, (row_number() OVER (ORDER BY ts DESC NULLS LAST, id DESC) - 1) // 10 + 1 AS page, greatest(1, (count(*) OVER () + 9) // 10) AS pages FROM published", PUBLISHED))
 def page_n(spark, sf):
     """Every item's page of ten."""
-    items = collection(spark, sf)
-    n = F.row_number().over(Window.orderBy(*a.newest_first(F.col("ts"), F.col("id"))))
-    total = F.count("*").over(Window.partitionBy())
-    return items.select("id", F.floor((n - 1) / 10 + 1).alias("page"), F.greatest(F.lit(1), F.ceil(total / 10)).alias("pages"))
+    items = in_places(spark, sf)
+    return items.select("id", F.floor((F.col("place") - 1) / 10 + 1).alias("page"), F.greatest(F.lit(1), F.ceil(F.col("total") / 10)).alias("pages"))
 
 
 @query("pick_by_ids", sql("stories", "SELECT pos, id, title FROM (SELECT doc_id AS did, unnest([doc_id * 3, doc_id, doc_id * 3, -1]) AS id, unnest([0, 1, 2, 3]) AS pos FROM documents WHERE doc_id < 50) x JOIN stories USING (id) WHERE NOT (pos = 2) AND NOT (pos = 1 AND did = 0)"))
