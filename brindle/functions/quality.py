@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import single_line, trimmed, words
+from .text import single_line, trimmed, word_count, words
 
 # Phrases that give a summary away, by reason; the first that occurs counts.
 REFUSAL = (
@@ -75,7 +75,9 @@ def instruction_score(low: Column) -> Column:
         weak = sum((padded.contains(f" {p} ").cast("int") for p in INSTRUCTION_WEAK), F.lit(0))
         return F.when(any_of(padded, tuple(f" {p} " for p in INSTRUCTION_STRONG)), F.lit(2)).otherwise(F.lit(0)) + F.least(weak, F.lit(2))
 
-    return let(F.concat(F.lit(" "), single_line(F.regexp_replace(low, r"[^\s\x{00A0}\x{FEFF}\p{L}\p{N}]", " ")), F.lit(" ")), score)
+    longest = tuple(sorted({max(p.split(), key=len) for p in INSTRUCTION_STRONG + INSTRUCTION_WEAK}))  # no phrase without its longest word
+    scored = let(F.concat(F.lit(" "), single_line(F.regexp_replace(low, r"[^\s\x{00A0}\x{FEFF}\p{L}\p{N}]", " ")), F.lit(" ")), score)
+    return F.when(any_of(low, longest), scored).otherwise(F.lit(0))
 
 
 def cyrillic_ratio(text: Column) -> Column:
@@ -86,8 +88,9 @@ def cyrillic_ratio(text: Column) -> Column:
 
 
 def apology_refusal(low: Column) -> Column:
-    sentences = F.transform(F.split(low, r"[\n!.;?]+"), trimmed)
-    return F.exists(sentences, lambda s: any_of(s, APOLOGY) & any_of(s, INABILITY))
+    """An apology and an inability in one sentence; only texts with both are split."""
+    in_one = F.exists(F.split(low, r"[\n!.;?]+"), lambda s: any_of(s, APOLOGY) & any_of(s, INABILITY))
+    return F.when(any_of(low, APOLOGY), F.when(any_of(low, INABILITY), in_one).otherwise(F.lit(False))).otherwise(F.lit(False))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,7 +113,7 @@ def triggers(text: Column, kind: str = "post", least_chars: int = 120, language_
             F.size(F.filter(stripped, lambda x: x.rlike(r"^\\?[-–—•]{1,4}$"))).alias("bare"),
             F.size(F.filter(stripped, lambda x: x.rlike(r"^#+\s*[0-9./\- \t]*[0-9][0-9./\- \t]*$"))).alias("heading"),
             F.size(F.filter(stripped, lambda x: x != "")).alias("content"),
-            F.when(F.size(w) >= 20, longest_run(w)).alias("run"),
+            F.when(F.size(w) >= 20, F.array_join(w, " ").rlike(r"(?:^| )([^ ]++)(?: \1){7}(?: |$)")).alias("runs"),
             F.when(F.size(w) >= 80, F.size(F.array_distinct(w))).alias("distinct"),
         )
 
@@ -130,7 +133,7 @@ def triggers(text: Column, kind: str = "post", least_chars: int = 120, language_
             reason(s.contains("```"), "artifact"),
             reason(s.startswith("{") | s.startswith("["), "artifact"),
             reason(low.contains("http://") | low.contains("https://"), "contains_url"),
-            reason(m["run"] >= 8, "repetition_run"),
+            reason(m["runs"], "repetition_run"),
             reason(m["distinct"] / m["n"] < 0.2, "low_unique_ratio"),
             reason((m["percent"] >= 8) & (m["percent"] / m["chars"] >= 0.05), "url_encoded_noise"),
             reason((m["bare"] >= 10) & (m["bare"] / m["n_lines"] >= 0.9), "bare_bullets"),
@@ -142,7 +145,7 @@ def triggers(text: Column, kind: str = "post", least_chars: int = 120, language_
         return F.array_compact(F.array(*found))
 
     def of_text(s: Column) -> Column:
-        parts = F.struct(s.alias("s"), F.lower(s).alias("low"), F.transform(words(s), F.lower).alias("w"), F.split(s, r"\r?\n").alias("lines"))
+        parts = F.struct(s.alias("s"), F.lower(s).alias("low"), words(F.lower(s)).alias("w"), F.split(s, r"\r?\n").alias("lines"))
         checked = let(parts, lambda v: let(of_parts(v), lambda m: reasons(v, m)))
         return F.when(s == "", F.array(F.lit("empty"))).otherwise(checked)
 
@@ -175,7 +178,7 @@ def extract_metrics(markdown: Column) -> Column:
     dup = lambda xs: F.when(F.size(xs) > 0, 1 - F.size(F.array_distinct(xs)) / F.size(xs)).otherwise(F.lit(0.0))
 
     def measured(x: Column) -> Column:
-        return let(F.regexp_count(x, F.lit(NO_SPACE)), lambda k: F.struct(x.alias("x"), k.alias("k"), (F.size(words(x)) + F.ceil(k / 2).cast("int")).alias("n")))
+        return let(F.regexp_count(x, F.lit(NO_SPACE)), lambda k: F.struct(x.alias("x"), k.alias("k"), (word_count(x) + F.ceil(k / 2).cast("int")).alias("n")))
 
     def of_parts(v: Column) -> Column:
         total = F.aggregate(v["lines"], F.lit(0), lambda acc, r: acc + r["n"])
@@ -197,7 +200,7 @@ def extract_metrics(markdown: Column) -> Column:
     # a phrase can only start where a run of other signs starts; saying so keeps runs without an end from being tried at every place
     phrase = r"(?<![^.!?…\n])[^.!?…\n]++[.!?…]+"
     found = F.transform(F.regexp_extract_all(F.regexp_replace(markdown, "(?m)^#.*$", " "), F.lit(phrase), F.lit(0)), trimmed)
-    phrases = F.filter(found, lambda p: F.size(words(p)) >= 5)
+    phrases = F.filter(found, lambda p: word_count(p) >= 5)
     return let(F.struct(markdown.alias("md"), lines.alias("lines"), phrases.alias("phrases")), of_parts)
 
 

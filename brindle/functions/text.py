@@ -17,8 +17,12 @@ W = "[A-Za-z0-9_]"
 BLANKS = f"[{WS}]+"
 
 
+#: The same set as characters, for trimming without a regex.
+WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def single_line(text: Column) -> Column:
@@ -30,6 +34,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
+
+
 def clamp(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
@@ -110,7 +118,7 @@ def clean_model_output(text: Column) -> Column:
 
 
 def right_trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANKS}$", "")
+    return F.rtrim(text, F.lit(WS_CHARS))
 
 
 def clamp_clause(text: Column) -> Column:
