@@ -187,7 +187,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     order = [F.col("source").asc_nulls_last(), F.col("id").asc_nulls_last(), F.col("size").asc()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema)
-    ordered = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_order_udf, f"{schema}, part int, nth long, before long")
+    # without a number of its own, so that adaptive execution can merge small partitions
+    ordered = sized.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_order_udf, f"{schema}, part int, nth long, before long")
     rows = scratch.save(ordered, "rows")
     scratch.drop("sized")
     totals = rows.groupBy("part", "source").agg(F.sum("size").alias("words")).collect()  # at most partitions + sources rows
