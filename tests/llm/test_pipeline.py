@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline as cp
+from brindle.llm import near_dedup
 from brindle.llm.near_dedup import CLOSE, NEAREST, near_groups, spanning
 from brindle.llm.simhash import forest
 
@@ -51,6 +52,39 @@ def test_near_groups(spark):
     assert got == {i: r for i, r in root.items() if r != i}
 
 
+def exact_groups(rows):
+    """near_groups by comparing all pairs."""
+    sets = {i: shingles(t) for i, t, _ in rows}
+    ids, root = sorted(i for i in sets if sets[i]), {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids if top(i) != i}
+
+
+def groups(spark, rows):
+    return {r.row: r.root for r in near_groups(spark, frame(spark, rows).withColumnRenamed("doc_id", "row"), "row").collect()}
+
+
+def test_crowded_keys_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    rows = [(i, " ".join(changed(rng, base, rng.randrange(1, 7))), "a") for i in range(400)]  # most pairs lie below 0.8
+    rows += [(1000 + i, rows[i][1].upper(), "a") for i in range(20)]
+    want = exact_groups(rows)
+    assert groups(spark, rows) == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    assert groups(spark, rows) == want
+
+
 def test_spanning_forest_of_a_large_key():
     import numpy as np
 
