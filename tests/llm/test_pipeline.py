@@ -85,6 +85,19 @@ def test_crowded_keys_lose_no_pair(spark, monkeypatch):
     assert groups(spark, rows) == want
 
 
+def test_appended_and_truncated_copies(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        words = prose(rng, 204)
+        least = (0.8, 0.85, 0.9)[k % 3]
+        n = round(200 * least) + 4  # words whose shingles are that share of all, or a word less
+        other = [words[:n], words[-n:], words[: n - 1]][k // 3 % 3] if k < 30 else words + prose(rng, int(200 / least) - 200 + k % 2)
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(other), "a")]
+    want = exact_groups(rows)
+    assert 40 < len(want) < 60 and groups(spark, rows) == want
+
+
 def test_spanning_forest_of_a_large_key():
     import numpy as np
 
