@@ -135,7 +135,7 @@ def longest_word_run(spark, sf):
 @query("latin_runs")
 def latin_runs(spark, sf):
     """Language purity of Russian texts with English in them: findings depend on neighbouring tokens."""
-    text = F.concat(F.lit("Проект обсуждает "), F.substring("text", 1, 300), F.lit(" и решает precedents сам."))
+    text = F.concat(F.lit("Проект обсуждает "), "text", F.lit(" и решает precedents сам."))
     p = table(spark, sf, "documents").select("doc_id", purity(text).alias("p"))
     return p.select("doc_id", F.round("p.cyrillic_ratio", 6).alias("ratio"), "p.low_ratio", F.size("p.runs").alias("runs"), F.array_join("p.singles", ",").alias("singles"))
 

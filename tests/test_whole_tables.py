@@ -24,3 +24,11 @@ def test_quota_select_finds_all_sizes(spark, tmp_path):
         left.remove(best)
         for k in names(best):
             want[k] = want.get(k, 0) - 1
+
+
+def test_texts_are_taken_whole(spark, tmp_path):
+    long = "слово " * 100
+    sf = documents(spark, tmp_path, [(1, long, "ru", "a", 600), (2, long + "this is plain english text at the end", "ru", "a", 637)])
+    runs = {r.doc_id: r.runs for r in catalog.QUERIES["latin_runs"](spark, sf).collect()}
+    assert runs[2] > runs[1]
+    assert {r.doc_id: r.chars for r in catalog.QUERIES["unicode_forms"](spark, sf).collect()} == {1: 604, 2: 641}
