@@ -50,7 +50,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", remainder(10) == 0)
-    return lm_scores(spark, docs, docs.where("not held_out"), keep=("held_out",))
+    return lm_scores(spark, docs.withColumn("learn", ~F.col("held_out")), keep=("held_out",))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from brindle.llm.common import documents
-from brindle.llm.language_model import DEPTH, EDGE, count_grams, gram_codes, lm_scores, log_gamma, log_table, tally, transitions
+from brindle.llm.language_model import DEPTH, EDGE, Above, Subtrees, count_grams, estimate, gram_codes, lm_scores, log_gamma, tally
 from brindle.llm.queries import op7_lm_scoring
 
 
@@ -36,31 +36,28 @@ def base_scores(train, texts):
 
 
 class SlowTree:
-    """Context-tree weighting by its recursion, on the counts of some texts, with the `most` most frequent contexts.
+    """Context-tree weighting by its recursion, on the counts of some texts.
 
     A context is a tuple of bytes, the last one first.
     """
 
-    def __init__(self, texts, most):
-        self.counts, often = Counter(), Counter()
+    def __init__(self, texts):
+        self.counts, self.kept = Counter(), {()}
         for t in texts:
             seen = [EDGE] * DEPTH + list((t or "").encode()) + [EDGE]
             for k in range(DEPTH, len(seen)):
                 for d in range(DEPTH + 1):
                     context = tuple(seen[k - d : k][::-1])
-                    often[context] += d > 0
+                    self.kept.add(context)
                     for bit in range(8):
                         self.counts[context, seen[k] >> (8 - bit) | 1 << bit, seen[k] >> (7 - bit) & 1] += 1
-        self.kept = {()} | set(sorted((c for c in often if c), key=lambda c: (-often[c], len(c), c))[:most])
-        self.children = {c: [x for x in self.kept if x and x[:-1] == c] for c in self.kept}
+        self.children = {c: [] for c in self.kept}
+        for c in self.kept - {()}:
+            self.children[c[:-1]].append(c)
 
     def pair(self, context, node):
         return self.counts[context, node, 0], self.counts[context, node, 1]
 
-    def rest(self, context, node):
-        below = [self.pair(c, node) for c in self.children[context]]
-        return tuple(n - sum(p[i] for p in below) for i, n in enumerate(self.pair(context, node)))
-
     @staticmethod
     def own(pair):
         a, b = pair
@@ -70,7 +67,7 @@ class SlowTree:
     def weighted(self, context, node):
         if not self.children[context]:
             return self.own(self.pair(context, node))
-        below = sum(self.weighted(c, node) for c in self.children[context]) + self.own(self.rest(context, node))
+        below = sum(self.weighted(c, node) for c in self.children[context])
         return np.logaddexp(self.own(self.pair(context, node)), below) - math.log(2)
 
     def choice(self, history, node, bit):
@@ -84,8 +81,7 @@ class SlowTree:
             share = math.exp(self.own(pair) - math.log(2) - self.weighted(context, node))
             out, left, d = out + left * share * here, left * (1 - share), d + 1
             if history[:d] not in self.kept:
-                pair = self.rest(context, node)
-                return out + left * (pair[bit] + 0.5) / (sum(pair) + 1)
+                return out + left / 2
 
     def score(self, text):
         seen, total = [EDGE] * DEPTH + list((text or "").encode()) + [EDGE], 0.0
@@ -99,13 +95,17 @@ TRAIN = ["the cat sat on the mat", "The cat ran", "été à la mer", "", None, "
 SCORED = ["the cat", "THE mat sat", "zzz new words", None, "", "é x y\x1cz", "a" * 3000]
 
 
-@pytest.mark.parametrize("most", [1000, 40, 1])
-def test_scores_equal_the_recursion(spark, most):
-    learn = spark.createDataFrame([(t,) for t in TRAIN], "text string")
-    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(SCORED)], "doc_id long, text string, n int, base int")
-    got = sorted(lm_scores(spark, docs, learn, frequent=3, contexts=most).collect(), key=lambda r: r.doc_id)
-    tree = SlowTree(TRAIN, most)
-    for r, text, (n, known, total, base) in zip(got, SCORED, base_scores(TRAIN, SCORED)):
+def learnable(spark, texts, learn_from=()):
+    rows = [(i, t, 1, 2, False) for i, t in enumerate(texts)] + [(-1, t, 1, 2, True) for t in learn_from]
+    return spark.createDataFrame(rows, "doc_id long, text string, n int, base int, learn boolean")
+
+
+@pytest.mark.parametrize("shard", [8_000_000, 100])
+def test_scores_equal_the_recursion(spark, shard):
+    got = lm_scores(spark, learnable(spark, SCORED, TRAIN), frequent=3, shard=shard).where("doc_id >= 0").collect()
+    tree = SlowTree(TRAIN)
+    assert len(got) == len(SCORED)
+    for r, text, (n, known, total, base) in zip(sorted(got, key=lambda r: r.doc_id), SCORED, base_scores(TRAIN, SCORED)):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base)
         assert r.score == pytest.approx(tree.score(text), rel=1e-5)
@@ -113,16 +113,17 @@ def test_scores_equal_the_recursion(spark, most):
 
 def test_probabilities_sum_to_one():
     codes, n = tally(gram_codes(np.frombuffer(b"abracadabra" * 3, np.uint8), np.array([0, 11, 22, 33])))
-    kept = [np.zeros(1, np.int64)] + [tally(codes >> (8 * (DEPTH + 1 - d)))[0] for d in range(1, DEPTH + 1)]
-    base = np.cumsum([0] + [len(k) for k in kept])
-    keys = np.concatenate([(np.searchsorted(kept[d], codes >> (8 * (DEPTH + 1 - d))) + base[d]) << 8 | codes & 255 for d in range(DEPTH + 1)])
-    table = log_table(kept, *tally(keys, np.tile(n, DEPTH + 1)))
-    assert np.abs((10.0 ** table.astype(float)).sum(axis=1) - 1).max() < 1e-5
-    after = transitions(kept)
-    state = 0
-    for b in b"abrac":
-        state = after[state, b]
-    assert state >= base[5]  # five bytes of context are kept
+    contexts = np.unique(codes >> 8)
+    every = (contexts[:, None] << 8 | np.arange(256)).ravel()
+    tree = Subtrees(*tally(np.concatenate((codes, every)), np.concatenate((n, np.zeros(len(every), np.int64)))))
+    p = 10.0 ** tree.logs(Above(*tree.top()))
+    assert np.abs(p.reshape(len(contexts), 256).sum(axis=1) - 1).max() < 1e-12
+
+
+def test_estimate_of_small_and_large_counts():
+    zeros, ones = np.array([0, 3, 4000, 5000, 10**7]), np.array([0, 2, 4000, 0, 1])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5) for a, b in zip(zeros.tolist(), ones.tolist())]
+    assert np.allclose(estimate(zeros, ones), want, rtol=1e-10, atol=1e-8)
 
 
 def test_tally():
@@ -139,16 +140,25 @@ def test_log_gamma():
 
 
 def test_no_training_rows_and_no_rows(spark):
-    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
-    r = lm_scores(spark, docs, docs.limit(0).select("text")).first()
+    docs = learnable(spark, ["ab"])
+    r = lm_scores(spark, docs).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0) and r.score == pytest.approx(24 * math.log10(0.5))
-    assert lm_scores(spark, docs.limit(0), docs.select("text")).collect() == []
+    assert lm_scores(spark, docs.limit(0)).collect() == []
 
 
 def test_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "new rare"), (1, "new rare"), (None, "the")], "doc_id long, text string")
-    got = lm_scores(spark, docs, spark.createDataFrame([("the the",)], "text string"), frequent=1).collect()
-    assert sorted(r.n_tokens for r in got) == [2, 3, 3]
+    docs = spark.createDataFrame([(1, "new rare", False), (1, "new rare", None), (None, "the", False), (2, "the the", True)], "doc_id long, text string, learn boolean")
+    got = lm_scores(spark, docs, frequent=1).collect()
+    assert sorted(r.n_tokens for r in got) == [2, 3, 3, 3]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_the_model_grows_with_the_texts(spark):
+    """A context that is rare beside the others still counts: a deep one seen once predicts its byte."""
+    rare = learnable(spark, ["qzxwvk"], ["qzxwvk", *["the cat sat on the mat"] * 500])
+    without = learnable(spark, ["qzxwvk"], ["the cat sat on the mat"] * 500)
+    of = lambda docs: lm_scores(spark, docs).where("doc_id = 0").first().score
+    assert of(rare) > of(without) + 3
 
 
 def test_query_base(spark, sf_dir):
