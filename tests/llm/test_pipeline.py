@@ -5,10 +5,14 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as cp
 from brindle.llm import near_dedup
-from brindle.llm.near_dedup import CLOSE, NEAREST, near_groups, spanning
-from brindle.llm.simhash import forest
+from brindle.llm.common import Scratch
+from brindle.llm.components import components
+from brindle.llm.near_dedup import near_groups, sketch, sketch_distance
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,6 +87,8 @@ def test_crowded_keys_lose_no_pair(spark, monkeypatch):
     assert groups(spark, rows) == want
     monkeypatch.setattr(near_dedup, "BLOCK", 40)
     assert groups(spark, rows) == want
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)  # all pairs at once
+    assert groups(spark, rows) == want
 
 
 def test_appended_and_truncated_copies(spark):
@@ -98,19 +104,35 @@ def test_appended_and_truncated_copies(spark):
     assert 40 < len(want) < 60 and groups(spark, rows) == want
 
 
-def test_spanning_forest_of_a_large_key():
-    import numpy as np
-
+def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**64, (3, 2), dtype=np.uint64)
-    fps = base[rng.integers(0, 3, 1500)]
-    for _ in range(4):
-        fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)
-    for n in (1500, 900):
-        a, b = spanning(fps[:n])
-        assert len(a) <= n * (NEAREST + 1) and len(forest(a, b)[0]) == n - 3
-        far = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1)
-        assert far.max() <= CLOSE
+    for n, m, common in ((40, 60, 30), (700, 650, 640), (5000, 900, 850), (1, 1, 0), (129, 127, 127)):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        y = np.unique(np.concatenate((x[:common], rng.integers(-(2**63), 2**63 - 1, m - common))))
+        assert sketch_distance(sketch(x), sketch(y)) <= len(np.setxor1d(x, y))
+        assert sketch_distance(sketch(x), sketch(x)) == 0
+
+
+def test_near_groups_of_long_texts(spark):
+    rng = random.Random(9)
+    base = prose(rng, 150_000, 10**6)
+    rows = [(1, " ".join(base), "a"), (2, " ".join(changed(rng, base, 900)), "a"), (3, " ".join(base[:90_000]), "a"), (4, " ".join(base[:140_000]), "a")]
+    rows += [(5, "x" * 1_000_000, "a"), (6, "x" * 1_000_000, "a"), (7, "a " * 200_000, "a")]
+    assert groups(spark, rows) == {2: 1, 4: 1, 6: 5}
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_components(spark, n):
+    rng = random.Random(n)
+    chain = [(i + 1, i) for i in range(n)]  # a path, the worst shape for stars
+    other = [(1000 + max(x), 1000 + min(x)) for x in ([rng.sample(range(200), 2) for _ in range(n)])]
+    edges = spark.createDataFrame(chain + other, "a long, b long")
+    root = {i: i for e in chain + other for i in e}
+    for _ in range(n):
+        for a, b in chain + other:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in components(edges, Scratch(spark, "test")).collect()}
+    assert got == {i: r for i, r in root.items() if i != r}
 
 
 def test_exact_stage(spark):
