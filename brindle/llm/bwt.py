@@ -41,13 +41,14 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def close_boundaries(bwt: np.ndarray, least: int) -> np.ndarray:
-    """open[i]: the suffixes of ranks i - 1 and i share `least` symbols or more, where the first has as many before its terminator.
+def close_boundaries(bwt: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of the rising lengths, open[i]: the suffixes of ranks i - 1 and i share that many symbols or more, where the first has as many
+    before its terminator.
 
     Breadth first, intervals of strings w are extended backward to cw. An interval that ends where no
     common prefix is known yet shows that it is |w| there. So values come up in increasing order, each
-    once, and at `least` the expansion stops: what is still unknown is that long. Terminators (symbol 0)
-    are never prepended.
+    once; what is still unknown when a length is reached is that long, and at the last the expansion stops.
+    Terminators (symbol 0) are never prepended.
     """
     n = len(bwt)
     by_symbol = np.argsort(bwt, kind="stable")
@@ -62,9 +63,12 @@ def close_boundaries(bwt: np.ndarray, least: int) -> np.ndarray:
     open_ = np.ones(n + 1, bool)
     open_[[0, n]] = False
     low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
-    for _ in range(least):
+    found = []
+    for k in range(lengths[-1]):
+        if k in lengths:
+            found.append(open_.copy())
         if not len(low):
-            break
+            continue
         size = high - low + 1
         one = low[size == 1]
         one = back[one[live[one]]]
@@ -82,11 +86,12 @@ def close_boundaries(bwt: np.ndarray, least: int) -> np.ndarray:
         new = open_[high + 1]
         low, high = low[new], high[new]
         open_[high + 1] = False
-    return open_
+    return [*found, open_]
 
 
-def repeated_starts(texts: list[bytes], least: int) -> np.ndarray:
-    """By position of the concatenated texts (one terminator after each), whether the string of `least` bytes there starts elsewhere too."""
+def repeated_starts(texts: list[bytes], lengths: tuple[int, ...], windows: list[int]) -> list[np.ndarray]:
+    """By position of the concatenated texts (one terminator after each), for each of the rising lengths, whether the string of so
+    many bytes there starts elsewhere too. Only the first windows[k] places of text k count as starts."""
     sizes = np.array([len(t) + 1 for t in texts])
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     ends = np.cumsum(sizes) - 1
@@ -97,11 +102,13 @@ def repeated_starts(texts: list[bytes], least: int) -> np.ndarray:
     code = np.cumsum(spare) * used  # ranks of the bytes that occur; 0 is left for terminators
     symbols = code[raw].astype(np.uint8)
     symbols[ends] = 0
-    order = suffix_order(symbols, least)
-    open_ = close_boundaries(symbols[order - 1], least)
+    order = suffix_order(symbols, lengths[-1])
     room = np.repeat(ends, sizes) - np.arange(len(raw))
-    joins = np.flatnonzero(open_[1:-1] & (room[order[:-1]] >= least))
-    out = np.zeros(len(raw), bool)
-    out[order[joins]] = True
-    out[order[joins + 1]] = True
-    return out
+    mine = (np.arange(len(raw)) - np.repeat(ends - sizes + 1, sizes) < np.repeat(windows, sizes))[order]
+    found = []
+    for length, open_ in zip(lengths, close_boundaries(symbols[order - 1], lengths)):
+        run = np.concatenate(([0], np.cumsum(~(open_[1:-1] & (room[order[:-1]] >= length)))))
+        out = np.zeros(len(raw), bool)
+        out[order[mine & (np.bincount(run, weights=mine)[run] > 1)]] = True
+        found.append(out)
+    return found

@@ -1,17 +1,19 @@
 """Removal of repeated passages: suffix-array dedup over the whole corpus.
 
-Every byte covered by a string of `least` bytes that also starts anywhere else is removed. Sorting all
-suffixes of a corpus in one order is neither needed nor scalable: equal strings only have to meet.
+Every byte covered by a string of `least` bytes that also starts anywhere else is removed. Passages are
+counted beside that: runs of repeated strings of `short` bytes that have more than `words` words, as a passage
+of over fifty words often has less than 400 bytes. Sorting all suffixes of a corpus in one order is
+neither needed nor scalable: equal strings only have to meet.
 
-1. Anchors. In every window of `least` bytes the gram of `gram` bytes with the smallest hash is its
+1. Anchors. In every window of `short` bytes the gram of `gram` bytes with the smallest hash is its
    anchor (the first, at ties). Equal windows have equal anchors, and neighbouring windows mostly share
    theirs, so a document's windows fall into few regions, one for each anchor. Counting anchors over all
    documents, with map-side combining, rules out every window whose anchor occurs once.
-2. Regions of anchors that occur again are cut out of their texts, equal regions merged into one with
-   a count, and regions dealt out by anchor.
+2. Regions of anchors that occur again are cut out of their texts, each with its windows' bytes up to
+   `least`; regions of one anchor and 128-bit digest are merged into one with a count, and dealt out by anchor.
 3. A task takes whole groups of anchors, some megabytes at a time, builds the suffix order and the
-   Burrows-Wheeler transform of their regions, and expands intervals breadth-first up to `least`
-   (see bwt.py). That is exact: it judges bytes, not hashes. An anchor with too many bytes of different
+   Burrows-Wheeler transform of their regions, and expands intervals breadth-first, by `short` and up to
+   `least` (see bwt.py); regions that weren't merged are judged by their bytes. An anchor with too many bytes of different
    regions (a passage in very many contexts) is split first: its windows by where they lie around the
    anchor, and each part by what all its windows contain, down to single windows.
 4. Repeated windows return to their documents, which are cut.
@@ -88,24 +90,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return row[head], h[at[head]].view(np.int64), at[head], start[head], start[tail]
 
 
-def _pieces(offsets: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
+def _pieces(offsets: np.ndarray, least: int, piece: int = PIECE) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row, from, to): rows a few megabytes at a time, or pieces of a longer row that share no window."""
     for i, j in runs(offsets):
         a, b = int(offsets[i]), int(offsets[j])
-        if b - a <= PIECE:
+        if b - a <= piece:
             yield i, j, a, b
         else:
-            for k in range(a, b, PIECE):
-                yield i, j, k, min(b, k + PIECE + least - 1)
+            for k in range(a, b, piece):
+                yield i, j, k, min(b, k + piece + least - 1)
 
 
-def _anchors_udf(least: int):
+def _anchors_udf(least: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = buffer(batch.column(1))
             rows, found = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(4)]
-            for i, j, a, b in _pieces(offsets, least):
+            for i, j, a, b in _pieces(offsets, least, piece):
                 inner = np.clip(offsets[i : j + 1], a, b) - a
                 row, h, *places = anchors(data[a:b], inner, least)
                 rows.append(row + i)
@@ -122,8 +124,8 @@ def _anchors_udf(least: int):
     return run
 
 
-def _digest(data: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(data)
+def _digest(region: bytes, windows: int) -> bytes:
+    return xxhash.xxh3_128_digest(b"%d " % windows + region)
 
 
 def _regions_udf(least: int):
@@ -131,22 +133,25 @@ def _regions_udf(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, digests, starts, centers, regions = [], [], [], [], [], []
+            rows, hashes, digests, starts, centers, windows, regions = [], [], [], [], [], [], []
             seen = set()
             for row, text, found in zip(batch.column(0).to_pylist(), rows_of(batch, "text"), batch.column(2).to_pylist()):
                 for item in found:
                     region = text[item["first"] : item["last"] + least]
-                    d = _digest(region)
+                    n = item["last"] - item["first"] + 1
+                    d = _digest(region, n)
                     key = (item["h"], d)
                     rows.append(row)
                     hashes.append(item["h"])
                     digests.append(d)
                     starts.append(item["first"])
                     centers.append(item["at"] - item["first"])
+                    windows.append(n)
                     regions.append(None if key in seen else region)
                     seen.add(key)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((rows, hashes, digests, starts, centers, regions), kinds)], ["row", "h", "d", "start", "center", "region"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = (rows, hashes, digests, starts, centers, windows, regions)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["row", "h", "d", "start", "center", "windows", "region"])
 
     return run
 
@@ -156,27 +161,30 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _expand_udf(least: int):
-    """Rows (h, d, copies, region) sorted by h; out: (h, d, spans), runs of window starts in the region that repeat."""
+def _expand_udf(lengths: tuple[int, ...]):
+    """Rows (h, d, copies, windows, region) sorted by h; out: (h, d, spans), runs of starts in the region of repeated strings of each length."""
 
-    spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("length", pa.int64())]))
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        lists = pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], spans)
+        lists = pa.array([[{"a": a, "b": b, "length": n} for a, b, n in r[2]] for r in rows], spans)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), lists], ["h", "d", "spans"])
 
     def merged_copies(rows: list[tuple]) -> pa.RecordBatch:
-        """All windows of regions that were merged from several equal ones."""
-        return out([(h, d, [(0, len(region) - least + 1)]) for h, d, copies, region in rows if copies > 1])
+        """All strings of regions that were merged from several equal ones."""
+        return out([(h, d, whole(windows, region)) for h, d, copies, windows, region in rows if copies > 1])
+
+    def whole(windows: int, region: bytes) -> list[tuple[int, int, int]]:
+        return [(0, min(windows, len(region) - n + 1), n) for n in lengths if len(region) >= n]
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        flags, at, rows = repeated_starts([r[3] for r in held], least), 0, []
-        for h, d, copies, region in held:
-            n = len(region) - least + 1
-            own = np.ones(n, bool) if copies > 1 else flags[at : at + n]
-            if own.any():
-                rows.append((h, d, _spans(own)))
-            at += len(region) + 1
+        flags, at, rows = repeated_starts([r[4] for r in held], lengths, [r[3] for r in held]), 0, []
+        for h, d, copies, windows, region in held:
+            end = at + len(region)
+            own = whole(windows, region) if copies > 1 else [(a, b, n) for n, f in zip(lengths, flags) for a, b in _spans(f[at:end])]
+            if own:
+                rows.append((h, d, own))
+            at = end + 1
         return out(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +193,10 @@ def _expand_udf(least: int):
         def close() -> int:
             """Takes the group in: a region alone under its anchor has nothing to be compared with."""
             (alone if len(group) == 1 else held).extend(group)
-            return 0 if len(group) == 1 else sum(len(r[3]) + 1 for r in group)
+            return 0 if len(group) == 1 else sum(len(r[4]) + 1 for r in group)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if group and row[0] != group[0][0]:
                     size += close()
                     group = []
@@ -208,60 +216,74 @@ def _expand_udf(least: int):
     return run
 
 
-def _split_udf(least: int, width: int):
-    """Rows (h, d, copies, center, region) -> parts of their windows: (ph, pd, shift, h, d, copies, center, region).
+def _split_udf(short: int, least: int, width: int):
+    """Rows (h, d, copies, center, windows, region) -> parts of their windows: (ph, pd, shift, h, d, copies, center, windows, region).
 
     A part has the windows that lie `width` offsets or less apart around the anchor; it goes by what all of them contain.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for h, d, copies, center, region in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                a, windows = 0, len(region) - least + 1
+            out: list[list] = [[] for _ in range(9)]
+            for h, d, copies, center, windows, region in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                a = 0
                 while a < windows:
                     cell = (center - a) // width  # falls as a grows
                     latest = center - cell * width
                     b = min(windows, latest + 1)
-                    part, common = region[a : b - 1 + least], region[latest : latest - width + 1 + least]
-                    name = _digest(b"%d %d %d " % (h, cell, width) + common)
-                    for column, value in zip(out, (h, d, a, int.from_bytes(name[:8], "little", signed=True), _digest(part), copies, center - a, part)):
+                    part, common = region[a : b - 1 + least], region[latest : latest - width + 1 + short]
+                    name = xxhash.xxh3_128_digest(b"%d %d %d " % (h, cell, width) + common)
+                    for column, value in zip(out, (h, d, a, int.from_bytes(name[:8], "little", signed=True), _digest(part, b - a), copies, center - a, b - a, part)):
                         column.append(value)
                     a = b
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["ph", "pd", "shift", "h", "d", "copies", "center", "region"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["ph", "pd", "shift", "h", "d", "copies", "center", "windows", "region"])
 
     return run
 
 
-def _cut_udf(least: int, with_text: bool):
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+BLANK = frozenset(b" \t\n\v\f\r")
+
+
+def whole_words(text: bytes, a: int, b: int) -> int:
+    """Words that lie in text[a:b] from their first byte to their last."""
+    cut = (a > 0 and text[a - 1] not in BLANK and text[a] not in BLANK) + (b < len(text) and text[b] not in BLANK and text[b - 1] not in BLANK)
+    return max(0, len(text[a:b].split()) - cut)
+
+
+def _cut_udf(least: int, words: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for text, found in zip(rows_of(batch, "text"), batch.column(2).to_pylist()):
-                kept, end, removed, spans = [], 0, 0, 0
-                last = -1
-                for span in sorted(((x["a"], x["b"]) for x in found or ())):
-                    a, b = span
-                    if a > last:  # touching spans are one run
-                        spans += 1
-                        kept.append(text[end:a])
-                    removed += max(0, b - max(a, last, 0))
-                    last = end = max(last, b)
-                kept.append(text[end:])
-                rest = b"".join(kept)
-                for column, value in zip(out, (len(text), removed, spans, hashlib.sha256(rest).hexdigest(), rest)):
+                found = [(x["a"], x["b"], x["length"]) for x in found or ()]
+                gone = _joined([(a, b) for a, b, n in found if n == least])
+                edges = [0, *(x for span in gone for x in span), len(text)]
+                rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                passages = sum(whole_words(text, a, b) > words for a, b in _joined([(a, b) for a, b, _ in found]))
+                for column, value in zip(out, (len(text), len(text) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), passages, rest)):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            k = 5 if with_text else 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept"]
+            k = 6 if with_text else 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in list(zip(out, kinds))[:k])], ["id", *names[:k]])
 
     return run
 
 
-def _repeats(spark: SparkSession, scratch: Scratch, distinct: DataFrame, least: int, level: int = 0) -> DataFrame:
-    """(h, d, spans): the window starts of each distinct region that repeat. distinct: (h, d, copies, center, region)."""
+def _repeats(spark: SparkSession, scratch: Scratch, distinct: DataFrame, lengths: tuple[int, int], level: int = 0) -> DataFrame:
+    """(h, d, spans): the starts of repeated strings in each distinct region. distinct: (h, d, copies, center, windows, region)."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = distinct.groupBy("h").agg(F.sum(F.length("region")).alias("bytes"), F.count("*").alias("n"))
     large = scratch.save(groups.where((F.col("n") > 1) & (F.col("bytes") > GROUP_BYTES)).select("h"), f"large{level}")
@@ -270,48 +292,50 @@ def _repeats(spark: SparkSession, scratch: Scratch, distinct: DataFrame, least:
         direct = distinct.join(large, "h", "left_anti")
     else:
         large = None
-    rows = direct.select("h", "d", "copies", "region").repartition(parts, "h").sortWithinPartitions("h")
-    spans = "spans array<struct<a:long,b:long>>"
-    found = scratch.save(rows.mapInArrow(_expand_udf(least), f"h long, d binary, {spans}"), f"spans{level}")
+    rows = direct.select("h", "d", "copies", "windows", "region").repartition(parts, "h").sortWithinPartitions("h")
+    spans = "spans array<struct<a:long,b:long,length:long>>"
+    found = scratch.save(rows.mapInArrow(_expand_udf(tuple(sorted(set(lengths)))), f"h long, d binary, {spans}"), f"spans{level}")
     if large is None:
         return found
-    split = distinct.join(large, "h", "left_semi").select("h", "d", "copies", "center", "region")
-    schema = "ph long, pd binary, shift long, h long, d binary, copies long, center long, region binary"
-    children = scratch.save(split.mapInArrow(_split_udf(least, SPLITS[level]), schema), f"children{level}")
-    merged = children.groupBy("h", "d").agg(F.sum("copies").alias("copies"), F.min("center").alias("center"), F.first("region").alias("region"))
-    below = _repeats(spark, scratch, scratch.save(merged, f"merged{level}"), least, level + 1)
+    split = distinct.join(large, "h", "left_semi").select("h", "d", "copies", "center", "windows", "region")
+    schema = "ph long, pd binary, shift long, h long, d binary, copies long, center long, windows long, region binary"
+    children = scratch.save(split.mapInArrow(_split_udf(*lengths, SPLITS[level]), schema), f"children{level}")
+    merged = children.groupBy("h", "d").agg(F.sum("copies").alias("copies"), F.min("center").alias("center"), F.first("windows").alias("windows"), F.first("region").alias("region"))
+    below = _repeats(spark, scratch, scratch.save(merged, f"merged{level}"), lengths, level + 1)
     back = children.select("ph", "pd", "shift", "h", "d").join(below.hint("merge"), ["h", "d"])
-    back = back.select(F.col("ph").alias("h"), F.col("pd").alias("d"), F.transform("spans", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b"))).alias("spans"))
+    back = back.select(F.col("ph").alias("h"), F.col("pd").alias("d"), F.transform("spans", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b"), s["length"].alias("length"))).alias("spans"))
     joined = back.groupBy("h", "d").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a region's parts: a few hundred at most
     return scratch.save(found.unionAll(joined), f"all{level}")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes.
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, words: int = 50, short: int = 256, with_text: bool = False, piece: int = PIECE) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with_text the kept bytes.
 
     Texts are UTF-8 bytes, null is empty, matches stay within a document but may lie in the same one and
-    overlap. Strings are judged on the input: all copies go, also the first. Rows that repeat an id are
+    overlap. Strings are judged on the input: all copies go, also the first. n_passages counts the maximal runs
+    covered by repeated strings of `short` bytes that have more than `words` whole words; they aren't removed as such.
+    Windows of a text of more than `piece` bytes are found a piece at a time, which changes no result. Rows that repeat an id are
     documents of their own. Texts shorter than `least` bytes stay whole. Kept bytes may start or end within a
     character, as spans are judged by bytes.
     """
-    if least < 2 * GRAM:
-        raise ValueError(f"least is {2 * GRAM} bytes or more")
+    if not 2 * GRAM <= short <= least:
+        raise ValueError(f"short is {2 * GRAM} bytes or more, and least no less")
     bound_batches(spark)
     scratch, parts = Scratch(spark, "repeats"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     lists = "h array<long>, at array<long>, first array<long>, last array<long>"
-    texts = scratch.bucketed(src.mapInArrow(_anchors_udf(least), f"row long, id {kind}, text binary, {lists}"), "texts", "row", parts)
+    texts = scratch.bucketed(src.mapInArrow(_anchors_udf(short, piece), f"row long, id {kind}, text binary, {lists}"), "texts", "row", parts)
     occurs = texts.select("row", F.explode(F.arrays_zip("h", "at", "first", "last")).alias("x")).select("row", F.col("x.h").alias("h"), "x")
     again = scratch.save(occurs.groupBy("h").count().where("count > 1").select("h"), "again")
     wanted = occurs.join(again.hint("merge"), "h").groupBy("row").agg(F.collect_list("x").alias("found"))  # at most a document's regions
     cut = texts.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("row", "text", "found")
-    regions = scratch.save(cut.mapInArrow(_regions_udf(least), "row long, h long, d binary, start long, center long, region binary"), "regions")
-    merged = regions.groupBy("h", "d").agg(F.count("*").alias("copies"), F.min("center").alias("center"), F.first("region", ignorenulls=True).alias("region"))
-    spans = _repeats(spark, scratch, scratch.save(merged, "distinct"), least)
+    regions = scratch.save(cut.mapInArrow(_regions_udf(least), "row long, h long, d binary, start long, center long, windows long, region binary"), "regions")
+    merged = regions.groupBy("h", "d").agg(F.count("*").alias("copies"), F.min("center").alias("center"), F.first("windows").alias("windows"), F.first("region", ignorenulls=True).alias("region"))
+    spans = _repeats(spark, scratch, scratch.save(merged, "distinct"), (short, least))
     hits = regions.select("row", "h", "d", "start").join(spans.hint("merge"), ["h", "d"]).select("row", "start", F.explode("spans").alias("s"))
-    removed = hits.select("row", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b") - 1 + least).alias("b")).alias("span"))
+    removed = hits.select("row", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b") - 1 + F.col("s.length")).alias("b"), F.col("s.length").alias("length")).alias("span"))
     found = removed.groupBy("row").agg(F.collect_list("span").alias("found"))
     full = texts.select("row", "id", "text").join(found.hint("shuffle_hash"), "row", "left").select("id", "text", "found")
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return full.mapInArrow(_cut_udf(least, with_text), schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * with_text
+    return full.mapInArrow(_cut_udf(least, words, with_text), schema).withColumnRenamed("id", id_col)

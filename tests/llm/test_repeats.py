@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -14,9 +15,21 @@ from brindle.llm.common import documents
 from brindle.llm.repeats import remove_repeats
 
 
-def slow(rows, least):
+def slow_passages(text, count, short, words):
+    """Maximal runs of repeated strings of `short` bytes with more than `words` words that lie in them."""
+    flags = [False] * len(text)
+    for k in range(len(text) - short + 1):
+        if count[text[k : k + short]] > 1:
+            flags[k : k + short] = [True] * short
+    tokens = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    edges = [k for k in range(len(text) + 1) if (k < len(text) and flags[k]) != (k > 0 and flags[k - 1])]
+    return sum(sum(a <= x and y <= b for x, y in tokens) > words for a, b in zip(edges[::2], edges[1::2]))
+
+
+def slow(rows, least, short, words):
     texts = [(t or "").encode() for _, t in rows]
     count = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
+    brief = Counter(t[i : i + short] for t in texts for i in range(len(t) - short + 1))
     out = []
     for (i, _), t in zip(rows, texts):
         gone = bytearray(len(t))
@@ -25,13 +38,14 @@ def slow(rows, least):
                 gone[k : k + least] = b"\1" * least
         kept = bytes(c for c, g in zip(t, gone) if not g)
         spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(), slow_passages(t, brief, short, words)))
     return sorted(out, key=str)
 
 
-def check(spark, rows, least):
+def check(spark, rows, least, short=None, words=50, **more):
+    short = short or least
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, row int, h string, id int")
-    assert sorted((tuple(r) for r in remove_repeats(spark, df, least=least).collect()), key=str) == slow(rows, least)
+    assert sorted((tuple(r) for r in remove_repeats(spark, df, least=least, short=short, words=words, **more).collect()), key=str) == slow(rows, least, short, words)
 
 
 def fixture(seed):
@@ -48,25 +62,46 @@ def fixture(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_fixture(spark, seed):
     check(spark, fixture(seed), 64)
+    check(spark, fixture(seed), 150, 64, 9)
 
 
 def test_split_groups(spark, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", 300)  # nearly all anchors are split, down to single windows
     check(spark, fixture(3), 70)
+    check(spark, fixture(3), 130, 70, 9)
 
 
-def test_pieces_of_a_long_text(spark, monkeypatch):
+def test_pieces_of_a_long_text(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("abc ") for _ in range(3000))
-    monkeypatch.setattr(repeats, "PIECE", 700)
-    udf = repeats._anchors_udf(64)
-    assert udf is not None
-    check(spark, [(1, long), (2, long[500:1500]), (3, long[100:200])], 64)
+    rows = [(1, long), (2, long[500:1500]), (3, long[100:200])]
+    check(spark, rows, 64, piece=700)
+    check(spark, rows, 110, 64, 9, piece=700)
+
+
+def test_text_of_more_than_eight_mebibytes(spark):
+    rng = random.Random(6)
+    half = rng.randbytes(5 << 20).hex()[: 8_900_000]
+    rows = [(1, half), (2, half[8_388_000:8_389_500]), (3, half[100:700]), (4, "z" * 300 + half[8_899_000:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(spark, df).collect()}
+    assert got == {1: (8_900_000, 1500 + 600 + 1000, 3), 2: (1500, 1500, 1), 3: (600, 600, 1), 4: (1300, 1000, 1)}
+
+
+def test_passages_of_less_than_400_bytes(spark):
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    passage, brief = prose(60), prose(45)
+    assert len(passage) < 400 and len(brief) > 230
+    rows = [(i, f"{prose(90)} {passage} {prose(40)}") for i in range(3)] + [(i, f"{prose(90)} {brief} {prose(40)}") for i in range(3, 6)] + [(6, prose(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_passages) for r in remove_repeats(spark, df).collect()}
+    assert got == {i: (0, int(i < 3)) for i in range(7)}
 
 
 def test_whole_small_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
-    check(spark, rows, 400)
+    check(spark, rows, 400, 256)
 
 
 def test_empty_table(spark):
@@ -76,15 +111,18 @@ def test_empty_table(spark):
 
 def test_kept_text(spark):
     df = spark.createDataFrame([(1, "x" + "abcdefgh" * 10), (2, "abcdefgh" * 10 + "y")], "doc_id long, text string")
-    got = {r.doc_id: bytes(r.kept) for r in remove_repeats(spark, df, least=64, with_text=True).collect()}
+    got = {r.doc_id: bytes(r.kept) for r in remove_repeats(spark, df, least=64, short=64, with_text=True).collect()}
     assert got == {1: b"x", 2: b"y"}
 
 
 def test_expansion_against_counts():
     rng = random.Random(2)
     for _ in range(200):
-        least, base = rng.choice([1, 3, 8, 9, 20]), "".join(rng.choice("abc") for _ in range(50))
+        lengths, base = rng.choice([(1,), (3, 8), (8, 9), (9, 20), (20,)]), "".join(rng.choice("abc") for _ in range(50))
         texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(30))) + base[rng.randrange(50) :] for _ in range(rng.randrange(1, 6))]
-        count = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
-        want = [f for t in texts for f in [i + least <= len(t) and count[t[i : i + least]] > 1 for i in range(len(t) + 1)]]
-        assert repeated_starts([t.encode() for t in texts], least).tolist() == want
+        windows = [rng.randrange(1, len(t) + 2) for t in texts]
+        got = repeated_starts([t.encode() for t in texts], lengths, windows)
+        for least, flags in zip(lengths, got):
+            starts = [[i < w and i + least <= len(t) for i in range(len(t) + 1)] for t, w in zip(texts, windows)]
+            count = Counter(t[i : i + least] for t, s in zip(texts, starts) for i in range(len(t)) if s[i])
+            assert flags.tolist() == [s[i] and count[t[i : i + least]] > 1 for t, s in zip(texts, starts) for i in range(len(t) + 1)]
