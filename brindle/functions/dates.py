@@ -49,3 +49,9 @@ def slot_key(ts: Column) -> Column:
 
 def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
+
+
+def human_date(iso: Column) -> Column:
+    """The date and minute in words, in UTC; a dash for none, and text that is no time as it is."""
+    at = F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+    return F.when(iso.isNull() | iso.isin("", "—"), F.lit("—")).otherwise(F.coalesce(F.date_format(at, "MMMM dd, yyyy 'at' hh:mm a"), iso))

@@ -15,33 +15,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names written in lower case that aren't prose.
-ALLOWED = frozenset(
-    """systemd npm pnpm yarn curl wget ffmpeg nginx webpack podman git github sudo bash zsh ssh node deno bun pip apt brew
-    docker kubectl kubernetes grep vim neovim emacs tmux rsync jq sqlite postgres postgresql mysql redis linux unix macos
-    ios android javascript typescript python rust golang kotlin swift wasm json yaml toml html css os de facto jure novo
-    vitro vivo situ hoc ad priori posteriori versus vs""".split()
-)
+ALLOWED = frozenset({
+    "systemd", "npm", "pnpm", "yarn", "curl", "wget", "ffmpeg", "nginx", "webpack", "podman", "git", "github", "sudo",
+    "bash", "zsh", "ssh", "node", "deno", "bun", "pip", "apt", "brew", "docker", "kubectl", "kubernetes", "grep", "vim",
+    "neovim", "emacs", "tmux", "rsync", "jq", "sqlite", "postgres", "postgresql", "mysql", "redis", "linux", "unix",
+    "macos", "ios", "android", "javascript", "typescript", "python", "rust", "golang", "kotlin", "swift", "wasm", "json",
+    "yaml", "toml", "html", "css", "os", "de", "facto", "jure", "novo", "vitro", "vivo", "situ", "hoc", "ad", "priori",
+    "posteriori", "versus", "vs",
+})
 # English function words.
-FUNCTION_WORDS = frozenset(
-    """the a an and or but nor of to in on at by for with from into onto over under about after before between through
-    during without within against among around per is are was were be been being has have had does do did will would can
-    could should must may might shall not it its this that these those they them their his her our your you who whom whose
-    which what when where why how than then thus hence however moreover therefore although though while whereas because
-    since until unless if else whether both either neither each every all some any few many much more most other another
-    such same only also too very just even still already yet again alike""".split()
-)
+FUNCTION_WORDS = frozenset({
+    "the", "a", "an", "and", "or", "but", "nor", "of", "to", "in", "on", "at", "by", "for", "with", "from", "into",
+    "onto", "over", "under", "about", "after", "before", "between", "through", "during", "without", "within", "against",
+    "among", "around", "per", "is", "are", "was", "were", "be", "been", "being", "has", "have", "had", "does", "do",
+    "did", "will", "would", "can", "could", "should", "must", "may", "might", "shall", "not", "it", "its", "this",
+    "that", "these", "those", "they", "them", "their", "his", "her", "our", "your", "you", "who", "whom", "whose",
+    "which", "what", "when", "where", "why", "how", "than", "then", "thus", "hence", "however", "moreover", "therefore",
+    "although", "though", "while", "whereas", "because", "since", "until", "unless", "if", "else", "whether", "both",
+    "either", "neither", "each", "every", "all", "some", "any", "few", "many", "much", "more", "most", "other",
+    "another", "such", "same", "only", "also", "too", "very", "just", "even", "still", "already", "yet", "again",
+    "alike",
+})
 # Common verbs, and words seen astray.
-VERBS = frozenset(
-    """admits imposes allows enables provides requires offers gives takes makes gets uses needs wants helps seems looks feels
-    creates claims argues notes says shows means lets supports includes contains describes explains suggests proposes
-    reveals remains becomes keeps holds brings leads causes prevents reduces increases improves""".split()
-)
-EXTRA = frozenset("precedents dissent impasse sovereign fight sharp".split())
+VERBS = frozenset({
+    "admits", "imposes", "allows", "enables", "provides", "requires", "offers", "gives", "takes", "makes", "gets",
+    "uses", "needs", "wants", "helps", "seems", "looks", "feels", "creates", "claims", "argues", "notes", "says",
+    "shows", "means", "lets", "supports", "includes", "contains", "describes", "explains", "suggests", "proposes",
+    "reveals", "remains", "becomes", "keeps", "holds", "brings", "leads", "causes", "prevents", "reduces", "increases",
+    "improves",
+})
+EXTRA = frozenset({
+    "precedents", "dissent", "impasse", "sovereign", "fight", "sharp",
+})
 # Loanwords with the endings of English abstract nouns and adverbs.
-LOANS = frozenset(
-    """production performance inference assembly family supply apply reply early daily weekly monthly hourly anomaly
-    monopoly""".split()
-)
+LOANS = frozenset({
+    "production", "performance", "inference", "assembly", "family", "supply", "apply", "reply", "early", "daily",
+    "weekly", "monthly", "hourly", "anomaly", "monopoly",
+})
 
 CYRILLIC, LETTER = regex.compile(r"\p{Script=Cyrillic}"), regex.compile(r"\p{L}")
 LATIN_WORD = re.compile(r"(?!.*['\-’]{2})[A-Za-z](?:['\-A-Za-z’]*[A-Za-z])?")

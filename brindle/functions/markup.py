@@ -38,18 +38,40 @@ def batched(f: Callable, kind: str, *columns: Column) -> Column:
     return many(*columns)
 
 
+#: What an opening tag without attributes puts into plain text; other tags put nothing. A paragraph's break is marked until lines are done.
 PARAGRAPH = "\u0002"
+OPENS = {"br": "\n", "li": "\n• ", "ul": PARAGRAPH}
+TAG = re.compile(r"<([^>]*)>")
+FIRST_WORDS = re.compile(r"(?<=[A-Za-z0-9_])\s+(?=[A-Za-z0-9_])")
+
+
+def _pieces(markup: str) -> Iterator[str]:
+    """Texts between tags and what the tags put there. A list or paragraph that follows one that just ended begins a paragraph."""
+    at, ended, blanks = 0, None, ""  # ended: the list or paragraph that was closed; blanks: what came since, if it is blank
+    for tag in TAG.finditer(markup):
+        text, name = markup[at : tag.start()], tag[1].lower()
+        name = "br" if re.fullmatch(r"br\s*/?", name) else name
+        at = tag.end()
+        if ended and not text.strip() and name == ended:
+            yield PARAGRAPH
+            ended, blanks = None, ""
+        elif ended and not text.strip() and name == "br":
+            blanks += text + OPENS[name]
+        else:
+            yield blanks + text + OPENS.get(name, "")
+            ended, blanks = name[1:] if name in ("/p", "/ul") else None, ""
+    yield blanks + markup[at:]
 
 
 def html_plain(markup: str, most: int = 20_000) -> str:
     """Plain text of comment markup: paragraphs a blank line apart, list items as bullets, the first two words of a line kept together."""
-    s = markup[:most]
-    s = re.sub(r"(?i)<br\s*/?>", "\n", s)
-    s = re.sub(r"(?i)</p>\s*<p>|</ul>\s*<ul>|<ul>", PARAGRAPH, s)
-    s = re.sub(r"(?i)<li>", "\n• ", s)
-    s = entities.unescape(re.sub(r"<[^>]*>", "", s))
-    lines = [x if re.match(r"\s*•\s", x) or not x.strip() else re.sub(r"([A-Za-z0-9_])\s+([A-Za-z0-9_])", "\\1\u00a0\\2", x, count=1) for x in s.split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines).replace(PARAGRAPH, "\n\n")).strip()
+
+    def together(line: str) -> str:
+        return line if line.lstrip().startswith("• ") else FIRST_WORDS.sub("\u00a0", line, count=1)
+
+    text = entities.unescape("".join(_pieces(markup[:most])))
+    text = "\n".join(map(together, text.split("\n"))).replace(PARAGRAPH, "\n\n")
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
 class _Page(HTMLParser):

@@ -47,21 +47,45 @@ def fuzzy_score(text: Column, query: str) -> Column:
     return F.coalesce(exact, loose(F.when(exact.isNull(), text)))
 
 
+def subsequence(text: Column, query: str) -> Column:
+    """subsequence_score() of short texts as a Column."""
+    if len(query) <= 2:
+        return F.lit(0.0)
+    signs, low, n = F.split(F.lower(text), ""), query.lower(), len(query)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gaps"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        wanted = F.substring(F.lit(low), acc["at"] + 1, F.lit(1))
+        hit = (acc["at"] < n) & (sign == wanted)
+        gap = ~hit & (acc["at"] > 0) & (acc["at"] < n)
+        return F.struct((acc["at"] + hit.cast("int")).alias("at"), (acc["gaps"] + gap.cast("int")).alias("gaps"))
+
+    size = F.length(text)
+    share = F.lit(float(n)) / size
+    dense = share >= F.when(size < 20, 0.15).otherwise(0.1)
+    score = lambda acc: F.when((acc["at"] == n) & dense, F.greatest(F.lit(0.3), F.least(F.lit(0.7), share * 3 + share * 0.5) * F.greatest(F.lit(0.0), 1 - acc["gaps"] / size * 2))).otherwise(0.0)
+    return F.when(size > 0, F.aggregate(F.filter(signs, lambda s: s != ""), zero, step, score)).otherwise(0.0)
+
+
 def tag_score(tags: Column, queries: list[str]) -> Column:
     """Mean of the best scores of all query terms, null where they don't match. Tags are compared in lower case, terms as they are.
 
-    Equal 1, prefix or suffix 0.9, part 0.8 (terms of 3 on), tag within the term 0.7 (tags of 3 on).
+    Equal 1, prefix or suffix 0.9, part 0.8 (terms of 3 on), tag within the term 0.7 (tags of 3 on), and half the score of a
+    dense subsequence (over 0.6; terms and tags of 4 on).
     """
     if not queries:
         return F.lit(1.0)
     low = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
 
+    half = lambda s: F.when(s > 0.6, s * 0.5).otherwise(0.0)
+
     def best(q: str) -> Column:
         one = lambda t: (
             F.when(t == q, 1.0)
             .when(t.startswith(q) | t.endswith(q), 0.9)
             .when(t.contains(q) & F.lit(len(q) >= 3), 0.8)
             .when(F.lit(q).contains(t) & (F.length(t) >= 3), 0.7)
+            .when(F.lit(len(q) >= 4) & (F.length(t) >= 4), half(subsequence(t, q)))
             .otherwise(0.0)
         )
         return F.coalesce(F.array_max(F.transform(low, one)), F.lit(0.0))

@@ -194,3 +194,34 @@ def test_guard(spark):
     assert tuple(v(True, False, True, 0.9, "ok", ["x"])) == (False, "not_article", ["not_article", "refusal"])
     assert tuple(v(True, True, False, 0.8, "other", [" a ", "a", "b", "c"])) == (False, "other", ["a", "b"])
     assert v(True, True, False, 0.65, "other", ["a"]).ok
+
+
+def test_subsequence_column(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcab ") for _ in range(rng.randrange(30))) for _ in range(300)] + ["databases", "data bases", None]
+    for query in ("abc", "ab", "cabab", "databses", "Databases"):
+        rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", se.subsequence(F.col("x"), query).alias("s")).collect()
+        assert all(r.s == pytest.approx(se.subsequence_score(r.x, query)) for r in rows)
+
+
+def test_purity_reaches_the_triggers(spark, tmp_path):
+    from brindle.plans import catalog
+
+    spark.createDataFrame([(1, "x", "ru"), (2, "this is plain english text that goes on and on", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.reasons.split(",") for r in catalog.QUERIES["language_triggers"](spark, str(tmp_path)).collect()}
+    assert {"low_cyrillic_ratio", "latin_prose"} <= set(got[2]) and not {"low_cyrillic_ratio", "latin_prose"} & set(got[1])
+
+
+def test_search_page_puts_exact_first_and_stops(spark, monkeypatch):
+    from brindle.plans import workflows as wf
+
+    rows = [(k, "a Python web tool" if k % 2 else "pythonic webs", "example.org", ["x"], 10 * k, None) for k in range(12)]
+    items = spark.createDataFrame(rows, "id long, title string, domain string, tags array<string>, score long, ts timestamp")
+    shown = wf.search_page(items, "python web", "", []).orderBy("place").collect()
+    assert [r.id for r in shown][:6] == [11, 9, 7, 5, 3, 1] and all(r.exact == (r.id % 2 == 1) for r in shown)
+    monkeypatch.setattr(wf, "SCAN", 4)
+    assert sorted(r.id for r in wf.search_page(items, "python web", "", []).collect()) == [8, 9, 10, 11]
+    monkeypatch.setattr(wf, "SHOWN", 2)
+    assert [r.id for r in wf.search_page(items, "python web", "", []).orderBy("place").collect()] == [11, 9]
