@@ -7,7 +7,7 @@ counts are joins and windows.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,12 +50,12 @@ class Forest:
     def _cut(self) -> None:
         done: set = set()
         for start in self.ids:
-            path, at = [], start
+            path, at = {}, start  # ids in order, with their places
             while at is not None and at not in done and at not in path:
-                path.append(at)
+                path[at] = len(path)
                 at = self.parent[at]
             if at in path:
-                ring = path[path.index(at) :]
+                ring = list(path)[path[at] :]
                 self.parent[min(ring, key=self.pos.__getitem__)] = None
             done.update(path)
 
@@ -113,7 +113,8 @@ def render_threads(linked: DataFrame, most: int) -> DataFrame:
             texts.append("\n".join(render_line(i, forest.author[i], forest.text[i], d, caps[d > 0]) for i, d in branch))
         kept = pack([len(t) for t in texts], most)
         included = [i for k in kept for i, _ in branches[k]]
-        dropped = [i for i in forest.ids if i not in set(included)]
+        taken = set(included)
+        dropped = [i for i in forest.ids if i not in taken]
         return pd.DataFrame({"story_id": [rows["story_id"].iloc[0]], "text": ["\n\n".join(texts[k] for k in kept)], "included": [included], "dropped": [dropped]})
 
     schema = "story_id long, text string, included array<long>, dropped array<long>"
@@ -153,10 +154,10 @@ def crawl(comments: DataFrame, max_depth: int, max_count: int, seen: DataFrame |
         for i, p in zip(mine["id"], mine["parent"]):
             kids[p].append(i)
         text = dict(zip(mine["id"], mine["text"]))
-        queue = [(i, 1) for i in kids[story]]
+        queue = deque((i, 1) for i in kids[story])
         visited, out, emitted = set(i for i, _ in queue), [], 0
         while queue and emitted < max_count:
-            i, depth = queue.pop(0)
+            i, depth = queue.popleft()
             shown = bool((text[i] or "").strip())
             emitted += shown
             out.append((story, i, depth, shown))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +23,13 @@ def session(app: str = "brindle", **more: str) -> SparkSession:
     for key, value in {**SETTINGS, **more}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a temporary one only where Spark runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/brindle-scratch"
+    return f"{root}/brindle/{name}-{uuid.uuid4().hex}"

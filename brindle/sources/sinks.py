@@ -18,24 +18,48 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; one that a replace() had moved aside when it was cut off comes back. For writers, before they read."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at) and fs.exists(aside := _fs(spark, f"{path}.old")[1]) and not fs.rename(aside, at):
+        raise OSError(f"{path}.old can't be moved back")
+    return fs.exists(at)
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then renames: readers see the old or the new one. df may read the table itself."""
+    """Writes beside the table, moves the table aside and the new one into place. df may read the table itself.
+
+    At each moment a whole table is at path or at path.old, which recover() brings back; the table aside is deleted
+    only when the new one is in place. A reader that comes between the renames finds no table and tries again.
+    """
     spark, new, old = df.sparkSession, f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
     fs, at = _fs(spark, path)
-    for stale in (old,):
-        fs.delete(_fs(spark, stale)[1], True)
-    if fs.exists(at):
-        fs.rename(at, _fs(spark, old)[1])
-    fs.rename(_fs(spark, new)[1], at)
+    there = recover(spark, path)
+    df.write.mode("overwrite").parquet(new)
+    if there:
+        fs.delete(_fs(spark, old)[1], True)  # left over from a run that was cut off after its last rename
+        _move(fs, at, _fs(spark, old)[1])
+    _move(fs, _fs(spark, new)[1], at)
     fs.delete(_fs(spark, old)[1], True)
 
 
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def put(df: DataFrame, path: str, skip_unchanged: bool = False) -> bool:
+    """An object's content: overwritten unless the caller asks to skip equal content."""
+    if skip_unchanged:
+        return replace_if_changed(df, path)
+    replace(df, path)
+    return True
+
+
 def replace_if_changed(df: DataFrame, path: str) -> bool:
     """replace(), unless the table's rows are the same already."""
     spark = df.sparkSession
-    fs, at = _fs(spark, path)
-    if fs.exists(at) and content_hash(spark.read.parquet(path).select(*df.columns)) == content_hash(df):
+    if recover(spark, path) and content_hash(spark.read.parquet(path).select(*df.columns)) == content_hash(df):
         return False
     replace(df, path)
     return True

@@ -6,6 +6,7 @@ foreachBatch with keyed, idempotent sinks: a batch that is tried again changes n
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.state import latest_wins, upsert
-from ..sources.sinks import replace
+from ..sources.sinks import recover, replace
 
 
 def new_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100, fmt: str = "parquet") -> DataFrame:
@@ -36,7 +37,7 @@ def upsert_into(path: str, keys: list[str], order: str, keep: tuple[str, ...] =
 
     def each(batch: DataFrame, _: int) -> None:
         spark, new = batch.sparkSession, latest_wins(batch, keys, [F.col(order).desc_nulls_last(), F.xxhash64(F.struct(*batch.columns)).desc()])
-        old = spark.read.parquet(path) if table_exists(spark, path) else None
+        old = spark.read.parquet(path) if recover(spark, path) else None
         replace(upsert(old, new, keys, keep) if old is not None else new, path)
 
     return each
@@ -92,19 +93,19 @@ def reservations(stream: DataFrame, limit: int, window_seconds: int = 60) -> Dat
     within the limit, or if the window is empty. State: each gateway's admitted calls of the last window."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, tokens = (list(x) for x in state.get) if state.exists else ([], [])
+        held = deque(zip(*state.get)) if state.exists else deque()
+        used = sum(n for _, n in held)
         for rows in batches:
             out = []
             for at, i, n in sorted(zip(rows["at"], rows["id"], rows["tokens"])):
-                while times and times[0] <= at - window_seconds:
-                    times.pop(0)
-                    tokens.pop(0)
-                fits = not times or sum(tokens) + n <= limit
+                while held and held[0][0] <= at - window_seconds:
+                    used -= held.popleft()[1]
+                fits = not held or used + n <= limit
                 if fits:
-                    times.append(int(at))
-                    tokens.append(int(n))
+                    held.append((int(at), int(n)))
+                    used += int(n)
                 out.append((k[0], i, fits))
             yield pd.DataFrame(out, columns=["gateway", "id", "admitted"])
-        state.update((times, tokens))
+        state.update(([t for t, _ in held], [n for _, n in held]))
 
     return stream.groupBy("gateway").applyInPandasWithState(step, "gateway string, id long, admitted boolean", "times array<long>, tokens array<long>", "append", "NoTimeout")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -74,8 +75,10 @@ def test_pending(spark):
 def test_leaderboard(spark):
     rows = [("m/a", True, None, 100, 10, [], 4.0, 5.0, False), ("m/a", False, None, 200, 20, ["too_short"], None, None, None), ("m/b", False, "x", 50, 0, [], None, None, None)]
     runs = spark.createDataFrame(rows, "model string, ok boolean, error string, latency_ms long, output_chars long, reasons array<string>, overall double, purity double, refused boolean")
+    runs = runs.withColumns({"accuracy": F.col("overall") - 1, "completeness": F.col("overall"), "faithfulness": F.lit(2.0), "format_adherence": F.lit(3.0)})
     got = {r.model: r for r in stats.leaderboard(runs).collect()}
     assert (got["m/a"].pass_rate, got["m/a"].mean_overall, got["m/a"].composite, got["m/a"].p50, got["m/a"].mean_purity) == (0.5, 4.0, 2.0, 100.0, 5.0)
+    assert (got["m/a"].mean_accuracy, got["m/a"].mean_faithfulness, got["m/b"].mean_format_adherence) == (3.0, 2.0, None)
     assert got["m/b"].error_rate == 1.0
     assert ("m/b", "candidate_error", 1) in {tuple(r) for r in stats.failures(runs).collect()}
 
@@ -198,3 +201,29 @@ def test_merge_and_changes(spark):
 def test_forest_frame():
     rows = pd.DataFrame({"id": [3, 4], "pos": [0, 1], "text": ["a", "b"], "author": ["x", "y"], "parent_id": [None, 3]})
     assert threads.Forest(rows).branches() == [[(3, 0), (4, 1)]]
+
+
+@pytest.mark.parametrize("cut_off", ["aside", "placed"])
+def test_a_replace_that_was_cut_off_loses_nothing(spark, tmp_path, cut_off):
+    path = f"{tmp_path}/table"
+    sinks.replace(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, v string, at long"), path)
+    if cut_off == "aside":  # between the renames: the new table isn't in place
+        os.rename(path, f"{path}.old")
+        spark.createDataFrame([(9, "x", 9)], "id long, v string, at long").write.parquet(f"{path}.new")
+    else:  # after both, before the old one is deleted
+        spark.createDataFrame([(7, "old", 0)], "id long, v string, at long").write.parquet(f"{path}.old")
+    mb.upsert_into(path, ["id"], "at")(spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "id long, v string, at long"), 0)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a", 1), (2, "c", 2), (3, "d", 2)]
+    assert not os.path.exists(f"{path}.old") and not os.path.exists(f"{path}.new")
+
+
+def test_put_overwrites_unless_asked_to_skip(spark, tmp_path):
+    df, path = spark.range(3), f"{tmp_path}/object"
+    assert sinks.put(df, path) and sinks.put(df, path)
+    assert not sinks.put(df, path, skip_unchanged=True) and sinks.put(df.where("id > 0"), path, skip_unchanged=True)
+
+
+def test_floor_rank(spark):
+    rows = spark.createDataFrame([("a", v) for v in (5, 1, 3, 3, None)] + [("b", 7)], "k string, v long")
+    got = lambda p: {r.k: r.value for r in stats.floor_rank(rows, ["k"], "v", p).collect()}
+    assert got(0.0) == {"a": 1, "b": 7} and got(0.5) == {"a": 3, "b": 7} and got(0.95) == {"a": 3, "b": 7} and got(1.0) == {"a": 5, "b": 7}
