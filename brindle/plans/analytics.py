@@ -71,7 +71,7 @@ def list_ranks(spark, sf):
 
 
 @query("leaderboard", sql("runs", """SELECT model, count(*) AS n, round(avg(ok::INT), 6) AS pass_rate, round(avg((coalesce(refused, false) OR list_contains(reasons, 'refusal'))::INT), 6) AS refusal_rate,
-    round(avg((error IS NOT NULL)::INT), 6) AS error_rate, round(avg(overall), 6) AS mean_overall, round(avg(purity), 6) AS mean_purity, percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)::DOUBLE AS p50,
+    round(avg((error IS NOT NULL)::INT), 6) AS error_rate, """ + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in stats.JUDGED) + """, percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)::DOUBLE AS p50,
     percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)::DOUBLE AS p95, round(avg(output_chars), 6) AS mean_chars, round(coalesce(avg(overall), 0) * avg(ok::INT), 6) AS composite FROM runs GROUP BY model"""))
 def leaderboard(spark, sf):
     board = stats.leaderboard(runs(spark, sf))
@@ -153,12 +153,13 @@ CANDIDATE = [
     list_sort(list(latency_ms) FILTER (http_status = 200))[1 + CAST(floor(0.95 * (count(*) FILTER (http_status = 200) - 1)) AS INT)] AS p95 FROM evaluation GROUP BY variant)"""))
 def candidate_gate(spark, sf):
     """Five checks of each route. Latencies are of calls that went through; their percentile takes the value at floor(0.95 (n - 1))."""
-    fine = F.when(F.col("http_status") == 200, F.col("latency_ms"))
-    rows = evaluation(spark, sf).withColumn("fine", fine).groupBy("variant").agg(
+    e = evaluation(spark, sf)
+    p95 = stats.floor_rank(e.where("http_status = 200"), ["variant"], "latency_ms", 0.95).withColumnRenamed("value", "p95")
+    rows = e.groupBy("variant").agg(
         F.count("*").alias("n"), F.count_if("validated").alias("validated"), F.count_if(F.col("quote_accurate") == F.lit(False)).alias("provenance"),
-        F.count_if(F.col("http_status") == 413).alias("h413"), F.count_if(F.col("http_status") == 429).alias("h429"), stats.floor_rank("fine", 0.95).alias("p95"),
+        F.count_if(F.col("http_status") == 413).alias("h413"), F.count_if(F.col("http_status") == 429).alias("h429"),
     )
-    return stats.gate_checks(rows, CANDIDATE, ["variant"])
+    return stats.gate_checks(rows.join(p95, "variant", "left"), CANDIDATE, ["variant"])
 
 
 QUANTILES = (0.0, 0.05, 0.1, 0.5, 0.9, 1.0)
@@ -223,10 +224,13 @@ def greedy_pack(spark, sf):
 
 @query("token_window", sql("usage", "SELECT id, sum(coalesce(prompt_tokens, 0)) OVER (PARTITION BY gateway ORDER BY epoch(strptime(created_at, '%Y-%m-%dT%H:%M:%S.000Z')) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)::BIGINT AS used FROM usage"))
 def token_window(spark, sf):
-    """Tokens of a gateway in the sixty seconds up to each call."""
-    at = F.unix_timestamp(F.to_timestamp("created_at"))
-    w = Window.partitionBy("gateway").orderBy("at").rangeBetween(-60, 0)
-    return usage(spark, sf).withColumn("at", at).select("id", F.sum(g.zero(F.col("prompt_tokens"))).over(w).alias("used"))
+    """Tokens of a gateway in the sixty seconds up to each call. Hours are windows of their own, so that a busy gateway is dealt
+    out; a call of an hour's last minute also counts, without a row, in the next one's."""
+    at, hour = F.unix_timestamp(F.to_timestamp("created_at")), F.floor(F.col("at") / 3600)
+    hours = F.when(F.col("at") % 3600 >= 3540, F.array(hour, hour + 1)).otherwise(F.array(hour))
+    calls = usage(spark, sf).withColumn("at", at).select("id", "gateway", "at", g.zero(F.col("prompt_tokens")).alias("tokens"), F.posexplode(hours).alias("copy", "hour"))
+    w = Window.partitionBy("gateway", "hour").orderBy("at").rangeBetween(-60, 0)
+    return calls.withColumn("used", F.sum("tokens").over(w)).where("copy = 0").select("id", "used")
 
 
 @query("stratified_pick", """WITH b AS (SELECT doc_id, CASE WHEN n_chars >= 6000 THEN 'long' WHEN n_chars >= 2500 THEN 'medium' ELSE 'short' END AS bucket FROM documents)
@@ -325,9 +329,13 @@ def bounded_crawl(spark, sf):
     return th.crawl(comments(spark, sf), 4, 30)
 
 
-@query("baseline_report", sql("runs", """SELECT model, repeat, count(*) AS n, count(*) FILTER (error IS NULL) AS fine, list_sort(list(latency_ms))[1 + CAST(floor(0.5 * (count(*) - 1)) AS INT)] AS p50 FROM runs GROUP BY ALL"""))
+@query("baseline_report", sql("runs", """SELECT model, repeat, count(*) AS n, count(*) FILTER (error IS NULL) AS fine, list_sort(list(latency_ms))[1 + CAST(floor(0.5 * (count(*) - 1)) AS INT)] AS p50, list_sort(list(latency_ms))[1 + CAST(floor(0.95 * (count(*) - 1)) AS INT)] AS p95 FROM runs GROUP BY ALL"""))
 def baseline_report(spark, sf):
-    return runs(spark, sf).groupBy("model", "repeat").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("fine"), stats.floor_rank("latency_ms", 0.5).alias("p50"))
+    r, keys = runs(spark, sf), ["model", "repeat"]
+    report = r.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("fine"))
+    for p in (50, 95):
+        report = report.join(stats.floor_rank(r, keys, "latency_ms", p / 100).withColumnRenamed("value", f"p{p}"), keys, "left")
+    return report
 
 
 @query("blind_pairs", sql("evaluation", "SELECT story_id, repeat, max(overall) FILTER (variant = 'v1') AS v1, max(overall) FILTER (variant = 'v2') AS v2, count(*) FILTER (overall IS NULL) AS missing FROM evaluation GROUP BY ALL"))

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import analytics, collections, extras, filters, incremental, texts  # noqa: F401
+from . import analytics, collections, extras, filters, incremental, texts, workflows  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -126,10 +126,10 @@ def page_n(spark, sf):
     return items.select("id", F.floor((F.col("place") - 1) / 10 + 1).alias("page"), F.greatest(F.lit(1), F.ceil(F.col("total") / 10)).alias("pages"))
 
 
-@query("pick_by_ids", sql("stories", "SELECT pos, id, title FROM (SELECT doc_id AS did, unnest([doc_id * 3, doc_id, doc_id * 3, -1]) AS id, unnest([0, 1, 2, 3]) AS pos FROM documents WHERE doc_id < 50) x JOIN stories USING (id) WHERE NOT (pos = 2) AND NOT (pos = 1 AND did = 0)"))
+@query("pick_by_ids", sql("stories", "SELECT pos, id, title FROM (SELECT doc_id AS did, unnest([doc_id * 3, doc_id, doc_id * 3, -1]) AS id, unnest([0, 1, 2, 3]) AS pos FROM documents) x JOIN stories USING (id) WHERE NOT (pos = 2) AND NOT (pos = 1 AND did = 0)"))
 def pick_by_ids(spark, sf):
     """Items of id lists in list order: repeated ids once, missing ones left out."""
-    lists = table(spark, sf, "documents").where("doc_id < 50").select("doc_id", F.posexplode(F.expr("array(doc_id * 3, doc_id, doc_id * 3, -1)")).alias("pos", "id"))
+    lists = table(spark, sf, "documents").select("doc_id", F.posexplode(F.expr("array(doc_id * 3, doc_id, doc_id * 3, -1)")).alias("pos", "id"))
     first = st.latest_wins(lists, ["doc_id", "id"], [F.col("pos")])
     return first.join(stories(spark, sf).select("id", "title"), "id").select("pos", "id", "title")
 
@@ -229,11 +229,13 @@ def replace_tags(spark, sf):
     return st.replace_children(story_tags(spark, sf).select("story_id", "tag"), new, "story_id")
 
 
-@query("change_detect", """SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)""")
+@query("change_detect", """WITH old AS (SELECT doc_id AS id, lang, source FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT doc_id AS id, lang, CASE WHEN doc_id % 10 = 2 THEN 'src1' ELSE source END AS source FROM documents WHERE doc_id % 10 <> 1)
+    SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON n.id = o.id
+    WHERE o.id IS NULL OR n.id IS NULL OR (o.lang, o.source) IS DISTINCT FROM (n.lang, n.source)""")
 def change_detect(spark, sf):
     d = table(spark, sf, "documents")
     old = d.where("doc_id % 10 <> 0").selectExpr("doc_id AS id", "lang", "source")
-    new = d.where("doc_id % 10 <> 1").selectExpr("doc_id AS id", "lang", "CASE WHEN doc_id % 10 = 2 THEN 'moved' ELSE source END AS source")
+    new = d.where("doc_id % 10 <> 1").selectExpr("doc_id AS id", "lang", "CASE WHEN doc_id % 10 = 2 THEN 'src1' ELSE source END AS source")
     return st.changes(old, new, "id")
 
 
@@ -251,11 +253,11 @@ def policy_mismatch(spark, sf):
     return rows.where(stale).select("id", F.col("story_id").isNull().alias("no_state"))
 
 
-@query("input_hash_changed", """SELECT doc_id, doc_id % 4 = 0 AS changed FROM documents""")
+@query("input_hash_changed", """SELECT doc_id, sha256(concat_ws('|', lang, '4', text)) <> sha256(concat_ws('|', lang, CASE WHEN doc_id % 4 = 0 THEN '5' ELSE '4' END, CASE WHEN lang = 'de' THEN trim(text) ELSE text END)) AS changed FROM documents""")
 def input_hash_changed(spark, sf):
     d = table(spark, sf, "documents")
-    stored = d.select("doc_id", st.input_hash(F.col("lang"), F.lit("4"), F.substring("text", 1, 300)).alias("old"))
-    now = d.select("doc_id", st.input_hash(F.col("lang"), F.when(F.col("doc_id") % 4 == 0, F.lit("5")).otherwise(F.lit("4")), F.substring("text", 1, 300)).alias("new"))
+    stored = d.select("doc_id", st.input_hash(F.col("lang"), F.lit("4"), F.col("text")).alias("old"))
+    now = d.select("doc_id", st.input_hash(F.col("lang"), F.when(F.col("doc_id") % 4 == 0, F.lit("5")).otherwise(F.lit("4")), F.when(F.col("lang") == "de", F.trim("text")).otherwise(F.col("text"))).alias("new"))
     return now.join(stored, "doc_id").select("doc_id", (F.col("old") != F.col("new")).alias("changed"))
 
 
@@ -333,11 +335,16 @@ STEMS = f"list_distinct(list_transform(list_filter({duck_words('x')}, lambda w:
 PLAIN = r"regexp_replace(lower(text), '[^\p{L}\p{N}\s\x{00A0}\x{FEFF}]+', ' ', 'g')"
 
 
+ECHOES = "said AS (SELECT story_id, id, text FROM comments UNION ALL SELECT story_id, id + 500, text || ' Indeed, ' || author FROM comments WHERE pos % 3 = 0)"
+
+
 @query("containment_pairs", sql("comments", f"""SELECT a.story_id, a.id AS earlier, b.id AS later, round(len(list_intersect(a.st, b.st)) / CAST(least(len(a.st), len(b.st)) AS DOUBLE), 6) AS score FROM stemmed a JOIN stemmed b
-    ON a.story_id = b.story_id AND a.id < b.id AND least(len(a.st), len(b.st)) > 0 WHERE len(list_intersect(a.st, b.st)) >= 0.7 * least(len(a.st), len(b.st))""", f"plain AS (SELECT story_id, id, {PLAIN} AS x FROM comments), stemmed AS (SELECT story_id, id, {STEMS} AS st FROM plain)"))
+    ON a.story_id = b.story_id AND a.id < b.id AND least(len(a.st), len(b.st)) > 0 WHERE len(list_intersect(a.st, b.st)) >= 0.7 * least(len(a.st), len(b.st))""", f"{ECHOES}, plain AS (SELECT story_id, id, {PLAIN} AS x FROM said), stemmed AS (SELECT story_id, id, {STEMS} AS st FROM plain)"))
 def containment_pairs(spark, sf):
-    """Near-duplicate comments of a story: stems meet by an equi-join on (story, stem), and shared stems are counted."""
-    s = comments(spark, sf).select("story_id", "id", q.stems(F.col("text")).alias("st")).withColumn("n", F.size("st"))
+    """Near-duplicate comments of a story, some of which are said again: stems meet by an equi-join on (story, stem), and shared stems are counted."""
+    c = comments(spark, sf)
+    echoes = c.where("pos % 3 = 0").select("story_id", F.col("id") + 500, F.concat("text", F.lit(" Indeed, "), "author"))
+    s = c.select("story_id", "id", "text").unionAll(echoes).select("story_id", "id", q.stems(F.col("text")).alias("st")).withColumn("n", F.size("st"))
     e = s.select("story_id", "id", "n", F.explode("st").alias("stem"))
     x, y = e.alias("x"), e.alias("y")
     met = x.join(y, (F.col("x.story_id") == F.col("y.story_id")) & (F.col("x.stem") == F.col("y.stem")) & (F.col("x.id") < F.col("y.id")))

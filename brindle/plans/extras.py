@@ -9,21 +9,24 @@ from ..functions import quality as q
 from ..functions import render as rd
 from ..functions import text as t
 from ..operators import gates as g
+from .filters import duck_trim
 from .tables import comments, query, sql, stories, table
 
 
-@query("decode_text", "SELECT doc_id, length(text) AS chars, CASE WHEN doc_id % 3 = 0 THEN 'latin-1' WHEN doc_id % 3 = 1 THEN 'utf-8' ELSE 'nonsense' END AS charset FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("decode_text", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN strlen(text) ELSE length(text) END AS chars, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS sha, CASE WHEN doc_id % 3 = 0 THEN 'latin-1' WHEN doc_id % 3 = 1 THEN 'utf-8' ELSE 'nonsense' END AS charset FROM documents")
 def decode_text(spark, sf):
     """Bytes decoded by the charset of their content type, unknown ones as UTF-8."""
     kind = F.expr("CASE WHEN doc_id % 3 = 0 THEN 'text/html; charset=latin-1' WHEN doc_id % 3 = 1 THEN 'text/html' ELSE 'text/plain; charset=nonsense; x' END")
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("kind", kind)
-    return d.select("doc_id", F.length(mk.decode(F.encode("text", "UTF-8"), F.col("kind"))).alias("chars"), mk.charset(F.col("kind")).alias("charset"))
+    d = table(spark, sf, "documents").withColumn("kind", kind).withColumn("decoded", mk.decode(F.encode("text", "UTF-8"), F.col("kind")))
+    return d.select("doc_id", F.length("decoded").alias("chars"), F.when(F.col("doc_id") % 3 != 0, F.sha2("decoded", 256)).alias("sha"), mk.charset(F.col("kind")).alias("charset"))
 
 
-@query("strip_fence", "SELECT event_id, '{\"k\":' || event_id || '}' AS body FROM events")
+@query("strip_fence", f"SELECT doc_id, sha256({duck_trim('text')}) AS body FROM documents WHERE NOT contains(text, '```') UNION ALL SELECT doc_id, NULL FROM documents WHERE contains(text, '```')")
 def strip_fence(spark, sf):
-    raw = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit(" ```json\n")).otherwise(F.lit("")), F.lit('{"k":'), "event_id", F.lit("}"), F.when(F.col("event_id") % 2 == 0, F.lit("\n``` ")).otherwise(F.lit("\n")))
-    return table(spark, sf, "events").select("event_id", t.strip_json_fence(raw).alias("body"))
+    """Answers within a fence or without; an answer that has fences of its own is no answer."""
+    fenced = F.col("doc_id") % 2 == 0
+    raw = F.concat(F.when(fenced, F.lit(" ```json\n")).otherwise(F.lit("")), "text", F.when(fenced, F.lit("\n``` ")).otherwise(F.lit("\n")))
+    return table(spark, sf, "documents").select("doc_id", F.when(~F.col("text").contains("```"), F.sha2(t.strip_json_fence(raw), 256)).alias("body"))
 
 
 @query("clean_output", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'no end to this paragraph that ' || doc_id || ' goes…' ELSE 'All of ' || doc_id || ' is well.' END AS text FROM documents")
@@ -44,11 +47,15 @@ def compressed_verdict(spark, sf):
     return table(spark, sf, "documents").select("doc_id", q.compressed_verdict(text, source).alias("verdict"))
 
 
-@query("tidy_text", "SELECT doc_id, 'a  ' || chr(10) || 'b ' || doc_id || chr(10) || '```' || chr(10) || 'c     ' || chr(10) || '```' AS text FROM documents")
+RAGGED = "replace(replace(text, '. ', '.     ' || chr(10)), '```', '')"
+
+
+@query("tidy_text", f"""SELECT doc_id, sha256({duck_trim("regexp_replace(" + RAGGED + " || chr(10), '[ \\t]{3,}\\n', '  ' || chr(10), 'g') || '```' || chr(10) || " + RAGGED + " || chr(10) || '```'")}) AS text FROM documents""")
 def tidy_text(spark, sf):
     """More than two trailing blanks become two, but not within fences."""
-    raw = F.concat(F.lit("\na     \nb "), "doc_id", F.lit("\n```\nc     \n```\n"))
-    return table(spark, sf, "documents").select("doc_id", mk.batched(mk.tidy_model_text, "string", raw).alias("text"))
+    ragged = F.replace(F.replace("text", F.lit(". "), F.lit(".     \n")), F.lit("```"), F.lit(""))
+    raw = F.concat(ragged, F.lit("\n```\n"), ragged, F.lit("\n```"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(mk.batched(mk.tidy_model_text, "string", raw), 256).alias("text"))
 
 
 @query("site_base", sql("stories", "SELECT id, CASE WHEN id % 3 = 0 THEN 'https://site.example.org' WHEN id % 3 = 1 THEN 'https://other.example.org/a' ELSE 'https://site.example.org' END AS base FROM stories"))
@@ -86,15 +93,19 @@ def merge_seen(spark, sf):
 def insight_candidates(spark, sf):
     """Insights of each thread held to the ceiling, the heuristics and the least length of the card they make."""
     c = comments(spark, sf).groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("c"), F.count_if(g.is_substantive(F.col("text"))).alias("s"))
-    insights = F.slice(F.transform("c", lambda x: F.struct(F.lit("consensus").alias("kind"), F.substring(x["text"], 1, 160).alias("text"))), F.lit(1), g.insight_ceiling(F.col("s")))
-    rows = c.select("story_id", insights.alias("i")).withColumn("line", F.substring(F.col("i")[0]["text"], 1, 120))
+    insights = F.slice(F.transform("c", lambda x: F.struct(F.lit("consensus").alias("kind"), x["text"].alias("text"))), F.lit(1), g.insight_ceiling(F.col("s")))
+    rows = c.select("story_id", insights.alias("i")).withColumn("line", F.col("i")[0]["text"])
     found = q.insight_triggers(rd.insights_text(F.col("line"), F.col("i")))
     card = rd.card(rd.parts(F.col("line"), F.col("i"), F.lit(None).cast("string")))
     verdict = F.when(F.size(found) > 0, F.array_join(found, ",")).when(F.length(t.trimmed(card)) < 200, F.lit("too_short")).otherwise(F.lit("ok"))
     return rows.select("story_id", F.size("i").alias("insights"), verdict.alias("verdict"))
 
 
-@query("pdf_pages", "SELECT page_id, 3 AS line_ends FROM pages")
+SPACED = "replace(text, '. ', '.' || repeat(chr(10), cast(2 + doc_id % 5 as int)))"
+
+
+@query("pdf_pages", f"SELECT doc_id, sha256(trim(regexp_replace({SPACED}, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'))) AS sha FROM documents")
 def pdf_pages(spark, sf):
-    text = mk.pdf_text(F.concat(F.lit("\u0000one\n\n\n\n\n\n two"), "page_id"))
-    return table(spark, sf, "pages").select("page_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("line_ends"))
+    """Texts as a PDF gives them: nulls between sentences, and many line ends."""
+    spaced = F.expr(SPACED.replace("||", "||").replace("chr(10)", "'\\n'"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(mk.pdf_text(F.concat(F.lit("\u0000"), spaced)), 256).alias("sha"))

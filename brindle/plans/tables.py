@@ -134,6 +134,10 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Further scores of a judge, as SQL that both engines read.
+JUDGED = {"accuracy": "1.0 + (doc_id + repeat) % 5", "completeness": "1.0 + (doc_id * 3) % 5", "faithfulness": "2.0 + (doc_id * 7 + repeat) % 4", "format_adherence": "5.0 - doc_id % 2"}
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "labels").crossJoin(F.broadcast(spark.range(2).toDF("repeat")))  # two repeats of each
     return base.select(
@@ -148,6 +152,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN 1.0 + doc_id % 5 END").cast("double").alias("overall"),
         F.expr("CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN 5.0 - doc_id % 3 END").cast("double").alias("purity"),
         F.expr("CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN toxic = 1 END").alias("refused"),
+        *(F.expr(f"CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN {e} END").cast("double").alias(c) for c, e in JUDGED.items()),
     )
 
 
@@ -205,7 +210,7 @@ RELATIONS = {
         CASE WHEN quality = 1 THEN [] WHEN toxic = 1 THEN ['refusal', 'too_short'] ELSE ['too_short'] END AS reasons,
         CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN CAST(1.0 + doc_id % 5 AS DOUBLE) END AS overall,
         CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN CAST(5.0 - doc_id % 3 AS DOUBLE) END AS purity,
-        CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN toxic = 1 END AS refused FROM labels, generate_series(0, 1) AS g(repeat)""",
+        CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN toxic = 1 END AS refused, """ + ", ".join(f"CASE WHEN doc_id % 9 <> 0 AND doc_id % 4 <> 0 THEN CAST({e} AS DOUBLE) END AS {c}" for c, e in JUDGED.items()) + " FROM labels, generate_series(0, 1) AS g(repeat)",
     "evaluation": """SELECT doc_id AS story_id, CASE WHEN doc_id % 10 = 3 THEN 'edge' ELSE 'quality' END AS cohort, repeat, 'v' || v AS variant,
         (doc_id + v) % 11 <> 0 AS validated,
         CASE WHEN (doc_id + repeat) % 13 = 0 THEN NULL ELSE CAST(2.0 + (doc_id * 7 + repeat + v * 3) % 3 + (v - 1) * 0.5 AS DOUBLE) END AS overall,

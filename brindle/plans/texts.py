@@ -97,10 +97,15 @@ def cyrillic_ratio(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(q.cyrillic_ratio(text), 6).alias("ratio"))
 
 
-@query("insight_triggers", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'refusal,low_cyrillic_ratio' ELSE 'low_cyrillic_ratio' END AS reasons FROM documents WHERE NOT regexp_matches(lower(text), 'cannot|policy|guidelines|sorry|your')""")
+INSIGHTS = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || ' As an AI' WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') ELSE text END AS raw FROM documents"
+OF_INSIGHTS = "[" + ", ".join(f"'{r}'" for r in q.INSIGHT_REASONS) + "]"
+
+
+@query("insight_triggers", "WITH " + trigger_sql(INSIGHTS, "doc_id") + f""", c AS (SELECT doc_id, len(regexp_extract_all(x, '\\p{{Cyrillic}}')) AS a, len(regexp_extract_all(x, '\\p{{Latin}}')) AS b FROM (SELECT doc_id, {PROSE.replace("text", "raw")} AS x FROM ({INSIGHTS})))
+    SELECT doc_id, array_to_string(list_concat(list_filter(reasons, lambda x: list_contains({OF_INSIGHTS}, x)), CASE WHEN a + b > 0 AND a / CAST(a + b AS DOUBLE) < 0.65 THEN ['low_cyrillic_ratio'] ELSE [] END), ',') AS reasons FROM found JOIN c USING (doc_id)""")
 def insight_triggers(spark, sf):
-    d_ = table(spark, sf, "documents").where(~F.lower("text").rlike("cannot|policy|guidelines|sorry|your"))
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" As an AI"))).otherwise(F.col("text"))
+    d_ = table(spark, sf, "documents")
+    text = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(text, ' As an AI') WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') ELSE text END")
     return d_.select("doc_id", F.array_join(q.insight_triggers(text, 0.65), ",").alias("reasons"))
 
 
@@ -161,7 +166,7 @@ def canonical_tags(spark, sf):
     return story_tags(spark, sf).select("story_id", "pos", tg.canonical(F.col("tag")).alias("slug"))
 
 
-TITLE_CASES = ", ".join("CASE WHEN regexp_matches(title, '(?i)\\b(?:" + "|".join(forms) + f")\\b') THEN '{tag}' END" for tag, forms in tg.title_rules())
+TITLE_CASES = ", ".join("CASE WHEN regexp_matches(title, '(?i)\\b(?:" + "|".join(forms) + f")\\b') THEN '{tag}' END" for tag, forms in tg.TITLE_RULES)
 DOMAIN_CASES = ", ".join("CASE WHEN " + " OR ".join(f"contains(domain, '{p}')" for p in parts.split("|")) + f" THEN '{tag}' END" for parts, tag in tg.DOMAINS)
 TAG_TABLES = f"""hosts AS (SELECT id, title, coalesce({HOST}, '') AS domain FROM stories),
     every AS (SELECT id, list_filter([{DOMAIN_CASES}, {TITLE_CASES}], lambda x: x IS NOT NULL) AS a FROM hosts),
@@ -189,11 +194,11 @@ def tag_kinds(spark, sf):
     return table(spark, sf, "lineitem").select("l_linenumber").distinct().select(F.col("l_linenumber").alias("n"), tg.kind(raw).alias("kind"))
 
 
-@query("escape_text", """SELECT doc_id, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
-    regexp_replace(x, '([\\\\`*_\\[\\]{}<>#+\\-|!])', '\\\\\\1', 'g') AS markdown FROM (SELECT doc_id, '<a href="#x">it''s & [b]_' || substr(text, 1, 60) AS x FROM documents)""")
+@query("escape_text", """SELECT doc_id, sha256(html) AS html, sha256(markdown) AS markdown FROM (SELECT doc_id, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
+    regexp_replace(x, '([\\\\`*_\\[\\]{}<>#+\\-|!])', '\\\\\\1', 'g') AS markdown FROM (SELECT doc_id, '<a href="#x">it''s & [b]_' || text AS x FROM documents))""")
 def escape_text(spark, sf):
-    x = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<a href=\"#x\">it's & [b]_"), F.substring("text", 1, 60)).alias("x"))
-    return x.select("doc_id", t.escape_html(F.col("x")).alias("html"), t.escape_markdown(F.col("x")).alias("markdown"))
+    x = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<a href=\"#x\">it's & [b]_"), F.col("text")).alias("x"))
+    return x.select("doc_id", F.sha2(t.escape_html(F.col("x")), 256).alias("html"), F.sha2(t.escape_markdown(F.col("x")), 256).alias("markdown"))
 
 
 @query("head_tail", "SELECT doc_id, CASE WHEN length(text) <= 900 THEN sha256(text) ELSE sha256(substr(text, 1, 600) || chr(10) || chr(10) || '[…]' || chr(10) || chr(10) || right(text, 200)) END AS slice_hash FROM documents")
@@ -201,9 +206,9 @@ def head_tail(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(t.head_tail(F.col("text"), 900, 600, 200), 256).alias("slice_hash"))
 
 
-@query("single_line", f"SELECT doc_id, {duck_line('text')} AS line FROM documents WHERE length(text) < 900")
+@query("single_line", f"SELECT doc_id, sha256({duck_line('text')}) AS line FROM documents")
 def single_line(spark, sf):
-    return table(spark, sf, "documents").where(F.length("text") < 900).select("doc_id", t.single_line(F.col("text")).alias("line"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(t.single_line(F.col("text")), 256).alias("line"))
 
 
 def duck_rtrim(x: str) -> str:
@@ -234,16 +239,23 @@ def safe_url(spark, sf):
     return stories(spark, sf).select("id", t.safe_http_url(F.col("url")).alias("safe"))
 
 
-@query("text_hash", "SELECT doc_id, sha256(text) AS sha, sha256(concat_ws('|', lang, '4', substr(text, 1, 500))) AS input_hash FROM documents")
+@query("text_hash", "SELECT doc_id, sha256(text) AS sha, sha256(concat_ws('|', lang, '4', text)) AS input_hash FROM documents")
 def text_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2(F.concat_ws("|", "lang", F.lit("4"), F.substring("text", 1, 500)), 256).alias("input_hash"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2(F.concat_ws("|", "lang", F.lit("4"), "text"), 256).alias("input_hash"))
+
+
+SAID = "regexp_replace(text, '[<>\"\\\\]', ' ', 'g')"
+LINES = f"list_filter(string_split({SAID}, chr(10)), lambda x: {duck_trim('x')} <> '' AND NOT regexp_matches(x, '^[0-9]+$'))"
 
 
-@query("vtt_captions", "SELECT doc_id, 'hello world ' || doc_id || ' bye' AS caption, 'a b c' AS xml, 'one two' AS json FROM documents")
+@query("vtt_captions", f"""SELECT doc_id, sha256({duck_line("'hello world ' || doc_id || '. ' || array_to_string(" + LINES + ", ' ')")}) AS caption, sha256({duck_line("'a ' || " + SAID)}) AS xml, sha256({duck_line("'one ' || " + SAID + " || 'two'")}) AS json FROM documents""")
 def vtt_captions(spark, sf):
-    vtt = F.concat(F.lit("WEBVTT\n\n1\n00:01 --> 00:02\nhello  world\n\n2\n00:02 --> 00:03\n "), F.col("doc_id"), F.lit("\n \nbye\n"))
-    xml, body = F.lit('<t><text start="1">a</text><text>b\n c</text></t>'), F.lit('{"events":[{"segs":[{"utf8":"one\\n"}]},{},{"segs":[{"utf8":"two"}]}]}')
-    return table(spark, sf, "documents").select("doc_id", t.vtt_text(vtt).alias("caption"), t.caption_xml_text(xml).alias("xml"), t.caption_json_text(body).alias("json"))
+    """Captions of each format that say whole texts, a cue after a short one."""
+    said = F.regexp_replace("text", '[<>"\\\\]', " ")
+    vtt = F.concat(F.lit("WEBVTT\n\n1\n00:01 --> 00:02\nhello  world\n\n2\n00:02 --> 00:03\n "), F.col("doc_id"), F.lit(". \n \n"), said, F.lit("\n"))
+    xml = F.concat(F.lit('<t><text start="1">a</text><text>'), said, F.lit("</text></t>"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.lit("one\n").alias("utf8"))).alias("segs")), F.struct(F.lit(None).cast("array<struct<utf8:string>>").alias("segs")), F.struct(F.array(F.struct(said.alias("utf8")), F.struct(F.lit("two").alias("utf8"))).alias("segs"))).alias("events")))
+    return table(spark, sf, "documents").select("doc_id", *(F.sha2(x, 256).alias(c) for c, x in (("caption", t.vtt_text(vtt)), ("xml", t.caption_xml_text(xml)), ("json", t.caption_json_text(body)))))
 
 
 @query("track_choice", """WITH tracks AS (SELECT conv_id, turn, ['de', 'en-US', 'fr', 'en'][(conv_id + turn) % 4 + 1] AS lang, CASE WHEN turn % 2 = 0 THEN 'asr' END AS kind FROM conversations),
