@@ -13,6 +13,7 @@ harmless shapes doesn't name it. Rows are independent: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,83 +29,115 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """A character class whose runs of `least` or more are candidates, a window and the entropy in bits that makes a secret."""
+    """A character class whose runs of `least` or more are candidates, a window, the entropy in bits that makes a secret, and allowed shapes."""
 
     pattern: str
     least: int
     window: int
     bits: float
+    allowed: tuple[str, ...] = ()
+
+
+#: What no secret looks like, by class: whole shapes, and placeholders, which only suppress runs that are hardly longer than themselves.
+WORDS = r"(?i)^(?=.{0,47}$).*(example|sample|dummy|xxxx|0000|1234567)"
+UUID = r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"
+PATH = r"^/?([a-z0-9_-]+/)+[a-z0-9_-]*$"
+#: Base-64 text mixes cases and digits; hexadecimal text in upper case has sixteen signs at most; keys of small letters and
+#: digits change between both more often than words with numbers do.
+CLASSES = (
+    EntropyClass("[A-Za-z0-9+/_-]", 24, 20, 3.9, (r"^[^0-9]*$", r"^[^A-Z]*$", r"^[0-9_/+-]+$", UUID, WORDS, PATH)),
+    EntropyClass("[0-9A-F]", 32, 24, 3.2, (r"^[0-9]+$", r"^[A-F]+$", WORDS)),
+    EntropyClass("[a-z0-9]", 32, 24, 3.9, (r"^[0-9a-f]+$", r"^(?:[a-z]+[0-9]*){0,4}$", r"^[0-9]*(?:[a-z]+[0-9]*){0,4}$", WORDS)),
+)
+#: Elements of an array that a running sum takes at once.
+RUN = 256
 
 
-#: Base-64 text mixes cases and digits; hexadecimal text in upper case has sixteen signs at most.
-CLASSES = (EntropyClass("[A-Za-z0-9+/_-]", 24, 20, 3.9), EntropyClass("[0-9A-F]", 32, 24, 3.2))
-#: Candidates that aren't secrets: words without digits or in one case, numbers, UUIDs, paths, examples.
-ALLOW = (
-    r"^[^0-9]*$",
-    r"^[^A-Z]*$",
-    r"^[0-9_/+-]+$",
-    r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$",
-    r"(?i)example|sample|dummy|xxxx|0000|1234567",
-    r"^/?([a-z0-9_-]+/){2,}",
-)
+SPAN = "array<struct<start:int,end:int,length:int>>"
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Of an array<int>, each element with those before it, put together by op, which has the neutral element 0.
+
+    Within runs of RUN elements results are appended one by one, and so are the runs' totals: n elements take RUN n / 2 +
+    (n / RUN)^2 / 2 copies instead of n^2 / 2.
+    """
+    none = F.array().cast("array<int>")
+
+    def scanned(items: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return let(op(acc["at"], x), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+
+        return F.aggregate(items, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of_runs(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, x: op(acc, x)))
+        starts = F.concat(F.array(F.lit(0)), scanned(totals, F.lit(0)))
+        return F.flatten(F.transform(runs, lambda run, k: scanned(run, F.get(starts, k))))
+
+    runs = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(RUN)), lambda i: F.slice(values, i, RUN))
+    return F.when(F.size(values) > 0, let(runs, of_runs)).otherwise(none)
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
-    """array<struct<start,end,length>> of a pattern's matches, in code points; length is the group's."""
-    whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), F.length)
-    zipped = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(part, F.length).alias("length"))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,length:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,length:int>>").alias("spans"))
+    """array<struct<start,end,length,word>> of a pattern's matches, in code points; length is the group's, word what matched."""
+
+    def of_parts(v: Column) -> Column:
+        ends = running(F.transform(v["items"], lambda x: x["gap"] + x["size"]), lambda acc, n: acc + n)
+        span = lambda end, x: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["length"].alias("length"), x["word"].alias("word"))
+        return F.zip_with(ends, v["items"], span)
+
+    def of_words(words: Column) -> Column:
+        sizes = F.transform(words, F.length)
+        lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else sizes
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(words)), F.length)
+        return let(F.struct(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), lengths.alias("length"), words.alias("word")).alias("items")), of_parts)
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_words))
+
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["length"].alias("length")))).alias("spans"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, add, lambda acc: acc["spans"])).otherwise(empty)
+
+def spans_of(matches: Column) -> Column:
+    return F.coalesce(F.transform(matches, lambda x: F.struct(x["start"], x["end"], x["length"])), F.array().cast(SPAN))
 
 
 def _window_entropy(word: Column, width: int) -> Column:
     """The largest entropy, in bits, of a window of `width` characters over the word, by incremental counts.
 
-    The counts are kept as one array position per code of an ASCII character from blank on.
+    State is the sum of c log2 c over the window's characters. The one that enters and the one that leaves change it by
+    their own counts, which are taken over the window's signs; nothing else is kept.
     """
 
     def c_log_c(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
-    chars = F.transform(F.split(word, ""), lambda ch: F.ascii(ch) - 31)
-    size = F.length(word)
-    empty = F.struct(F.array_repeat(F.lit(0.0), 96).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
-
-    def bump(state: Column, at: Column, by: float) -> tuple[Column, Column]:
-        old = F.element_at(state["counts"], at)
-        counts = F.transform(state["counts"], lambda c, i: F.when(i == at - 1, c + F.lit(by)).otherwise(c))
-        return counts, state["sum"] + c_log_c(old + F.lit(by)) - c_log_c(old)
+    def count(chars: Column, start: Column, n: Column, sign: Column) -> Column:
+        return F.size(F.filter(F.slice(chars, start, n), lambda x: x == sign)).cast("double")
 
-    def enter(state: Column, ch: Column) -> Column:
-        counts, total = bump(state, ch["enters"], 1.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), state["best"].alias("best"), ch["at"].alias("at"), ch["leaves"].alias("leaves"))
+    def of_chars(chars: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            enters, leaves = F.element_at(chars, i), F.element_at(chars, F.greatest(i - width, F.lit(1)))
+            before = count(chars, F.greatest(i - width, F.lit(1)), F.least(i - 1, F.lit(width)), enters)  # in the window without the entering sign
+            entered = state["sum"] + c_log_c(before + 1) - c_log_c(before)
+            there = count(chars, F.greatest(i - width, F.lit(1)), F.lit(width + 1), leaves)  # with both
+            total = F.when(i > width, entered - c_log_c(there) + c_log_c(there - 1)).otherwise(entered)
+            bits = F.log2(F.lit(float(width))) - total / width
+            return F.struct(total.alias("sum"), F.when(i >= width, F.greatest(state["best"], bits)).otherwise(state["best"]).alias("best"))
 
-    def leave(state: Column) -> Column:
-        counts, total = bump(state, F.coalesce(state["leaves"], F.lit(1)), -1.0)
-        goes = state["leaves"].isNotNull()
-        total = F.when(goes, total).otherwise(state["sum"])
-        bits = F.log2(F.lit(float(width))) - total / width
-        best = F.when(state["at"] >= width, F.greatest(state["best"], bits)).otherwise(state["best"])
-        return F.struct(F.when(goes, counts).otherwise(state["counts"]).alias("counts"), total.alias("sum"), best.alias("best"))
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, lambda state: state["best"])
 
-    steps = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("at"), F.element_at(chars, i).alias("enters"), F.when(i > width, F.element_at(chars, i - width)).alias("leaves")))
-    return F.aggregate(steps, empty, lambda state, ch: leave(enter(state, ch)), lambda state: state["best"])
+    return let(F.transform(F.filter(F.split(word, ""), lambda ch: ch != ""), F.ascii), of_chars)
 
 
 def _entropy_spans(text: Column, kind: EntropyClass) -> Column:
-    pattern = f"{kind.pattern}{{{kind.least},}}"
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.arrays_zip(_matches(text, pattern, 0).alias("span"), words.alias("word"))
-    hits = F.filter(found, lambda x: ~reduce(Column.__or__, (x["word"].rlike(p) for p in ALLOW)) & (_window_entropy(x["word"], kind.window) >= kind.bits))
-    return F.when(text.rlike(pattern), F.transform(hits, lambda x: x["span"]))
+    allowed = lambda word: reduce(Column.__or__, (word.rlike(p) for p in kind.allowed), F.lit(False))
+    hits = F.filter(_matches(text, f"{kind.pattern}{{{kind.least},}}", 0), lambda x: F.when(allowed(x["word"]), F.lit(False)).otherwise(_window_entropy(x["word"], kind.window) >= kind.bits))
+    return spans_of(hits)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[EntropyClass, ...] = CLASSES) -> DataFrame:
@@ -116,17 +149,24 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans all stay. Null is empty; a text without spans has an empty list and the digest of "".
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    nothing = F.array().cast("array<struct<start:int,end:int,length:int>>")
     base = docs.select(
         F.col(id_col).alias("id"),
-        F.filter(F.coalesce(_matches(text, ASSIGN, 1), nothing), lambda s: s["length"] >= 8).alias("assign"),
-        F.coalesce(_matches(text, ACCESS, 0), nothing).alias("access"),
-        F.coalesce(_matches(text, HEX, 0), nothing).alias("hex"),
-        F.array_distinct(F.concat(*(F.coalesce(_entropy_spans(text, k), nothing) for k in classes))).alias("entropy"),
+        F.filter(spans_of(_matches(text, ASSIGN, 1)), lambda s: s["length"] >= 8).alias("assign"),
+        spans_of(_matches(text, ACCESS, 0)).alias("access"),
+        spans_of(_matches(text, HEX, 0)).alias("hex"),
+        F.array_distinct(F.concat(*(_entropy_spans(text, k) for k in classes))).alias("entropy"),
     )
+
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), s["end"].alias("end")))
 
+    def within(spans: Column) -> Column:
+        """Entropy spans of sorted ones that don't lie in a base span: no base span that starts before them, or where they do, reaches their end."""
+        entropy = KINDS.index("entropy")
+        reach = running(F.transform(spans, lambda s: F.when(s["order"] < entropy, s["end"]).otherwise(F.lit(0))), F.greatest)
+        pairs = F.arrays_zip(spans.alias("span"), reach.alias("reach"))
+        return F.transform(F.filter(pairs, lambda x: (x["span"]["order"] < entropy) | (x["reach"] < x["span"]["end"])), lambda x: x["span"])
+
     def ordered(kinds: tuple[str, ...]) -> Column:
         return F.array_sort(F.concat(*map(tagged, kinds)))
 
@@ -135,11 +175,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind[s["order"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     known = base.withColumn("known", ordered(KINDS[:3]))
-    own = F.filter("entropy", lambda e: ~F.exists("known", lambda s: (s["start"] <= e["start"]) & (e["end"] <= s["end"])))
-    found = known.withColumn("entropy", own).withColumn("found", ordered(KINDS))
+    found = known.withColumn("found", F.when(F.size("entropy") == 0, F.col("known")).otherwise(let(ordered(KINDS), within)))
     return found.select(
         F.col("id").alias(id_col),
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
+        (F.size("found") - F.size("known")).cast("long").alias("n_entropy"),
         F.sha2(joined(F.col("known")).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
         "found",

@@ -8,7 +8,7 @@ import re
 from collections import Counter
 
 from brindle.llm.common import documents
-from brindle.llm.secrets import ALLOW, CLASSES, KINDS, find_secrets
+from brindle.llm.secrets import CLASSES, KINDS, RUN, find_secrets, running
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
@@ -30,7 +30,7 @@ def slow(text):
     more = set()
     for c in CLASSES:
         for m in re.finditer(f"{c.pattern}{{{c.least},}}", text):
-            if not any(re.search(p, m[0]) for p in ALLOW) and entropy(m[0], c.window) >= c.bits - 1e-9:
+            if not any(re.search(p, m[0]) for p in c.allowed) and entropy(m[0], c.window) >= c.bits - 1e-9:
                 more.add((m.start(), 3, m.end()))
     more = {x for x in more if not any(a <= x[0] and x[2] <= b for a, _, b in base)}
     join = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
@@ -59,6 +59,38 @@ def test_cases(spark):
     assert found[13] == 1 and found[14] == 1 and found[15] == found[16] == found[17] == found[18] == 0
 
 
+def test_shapes_only_suppress_what_they_fill(spark):
+    key, low = "Zk3v9QpL7xR2mT8wB5nY4cH6", "q7w2e9r4t1y8u3i6o5p0a2s7d4f9g1h8j3k6"
+    rows = [
+        (1, f"com/hooks/services/{key}"), (2, "usr/local/lib/python3/site-packages/some_package"), (3, f"example{key}{key}{key}"),
+        (4, f"exampleKey{key}"), (5, f" {low} "), (6, "word12and34more56words78ofthis"), (7, "thisisalongwordwithonenumber42attheend"),
+    ]
+    found = {r.doc_id: r.n_entropy for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0}
+    check(spark, rows)
+
+
+def test_running(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(list(range(n)),) for n in (0, 1, RUN - 1, RUN, RUN + 1, 3 * RUN + 7)]
+    df = spark.createDataFrame(rows, "x array<int>")
+    got = df.select("x", running(F.col("x"), lambda a, b: a + b).alias("sum"), running(F.reverse("x"), F.greatest).alias("max")).collect()
+    for r in got:
+        assert r.sum == [sum(r.x[: k + 1]) for k in range(len(r.x))] and r.max == [len(r.x) - 1] * len(r.x)
+
+
+def test_many_matches_and_a_long_text(spark):
+    many = " ".join(f"token=abcdefgh{k:06d}" for k in range(100_000))
+    long = "x" * 2_500_000 + f" {HEX40} " + "Zk3v9QpL7xR2mT8wB5nY4cH6" * 100 + " " + "y z " * 600_000
+    rows = [(1, many), (2, long)]
+    got = {r.doc_id: r for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert (got[1].n_assign, got[2].n_hex, got[2].n_entropy) == (100_000, 1, 1)
+    for i, t in rows:
+        want = slow(t)
+        assert (got[i].base_sha256, got[i].spans) == want[3:]
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, HEX40), (1, HEX40), (1, HEX40)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_hex) for r in find_secrets(df).collect()) == [("1", 1), ("1", 1), ("None", 1)]
