@@ -9,7 +9,8 @@ permutation for each pass over the source, and joined with the blocks by index.
 
 Scale: documents are ordered by a range sort on (source, id), which splits a hot source over tasks;
 block numbers come from a running sum within partitions and the partitions' totals, at most
-partitions + sources rows, which the driver adds up. No permutation is ever stored. Reruns agree,
+partitions + sources rows, which the driver adds up. What is broadcast is one count for each shard and source
+(at MAX_SOURCES 256 MB) and those rows. No permutation is ever stored. Reruns agree,
 however the input is partitioned, since the order and the draws depend only on ids, sizes and seed.
 """
 
@@ -32,21 +33,26 @@ MAX_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> list[float]:
-    """Shares of `share` times all sizes by repeating weights; what exceeds `cap` times a size goes to the others, until none does."""
-    total, out = share * sum(sizes), [0.0] * len(sizes)
-    open_ = [i for i, n in enumerate(sizes) if n]
-    while open_:
-        weight = sum(weights[i % len(weights)] for i in open_)
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in set(open_))
-        for i in open_:
-            out[i] = left * weights[i % len(weights)] / weight
-        over = [i for i in open_ if out[i] > cap * sizes[i]]
-        if not over:
-            break
-        for i in over:
-            out[i] = cap * sizes[i]
-        open_ = [i for i in open_ if out[i] < cap * sizes[i] or i not in set(over)]
-    return out
+    """Shares of `share` times all sizes by repeating weights; what exceeds `cap` times a size goes to the others, until none does.
+
+    A source is capped once what a weight of one gets reaches cap x size / weight. So in that order, sources are capped as long as
+    the next one's bound lies below what is left for a weight of one: one sort, whatever the number of sources.
+    """
+    n = np.array(sizes, np.float64)
+    w = np.resize(np.array(weights, np.float64), len(n))
+    out, open_ = np.zeros(len(n)), np.flatnonzero(n)
+    if not len(open_):
+        return out.tolist()
+    order = open_[np.argsort(n[open_] / w[open_], kind="stable")]
+    capped, weight = cap * n[order], w[order]
+    left = share * sum(sizes) - (np.cumsum(capped) - capped)  # for each source and those after it, if all before it are capped
+    rate = left / np.cumsum(weight[::-1])[::-1]
+    full = np.minimum.accumulate(rate * weight > capped)
+    k = int(full.sum())
+    out[order[:k]] = capped[:k]
+    if k < len(order):
+        out[order[k:]] = rate[k] * weight[k:]
+    return out.tolist()
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -73,11 +79,18 @@ class Mix:
     targets: np.ndarray
     block: np.ndarray  # words to a block
     blocks: np.ndarray
-    starts: np.ndarray  # of each shard's part of each source, in slots: [shards * sources + 1]
-    before: np.ndarray  # a source's slots in earlier shards, by the same index
-    shard_starts: np.ndarray
+    counts: np.ndarray  # int32 [shards, sources]: slots; the one array that has both sizes
     seed: int
 
+    @property
+    def slots(self) -> int:
+        return int(self.counts.sum(dtype=np.int64))
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each shard's part of each source starts, a source's slots in earlier shards, where each shard starts), by shard and source."""
+        wide = self.counts.astype(np.int64)
+        return np.concatenate(([0], np.cumsum(wide.ravel()))), (np.cumsum(wide, axis=0) - wide).ravel(), np.concatenate(([0], np.cumsum(wide.sum(axis=1))))
+
 
 def draw(names: list, sizes: list[int], goals: list[float], block_words: int, shards: int, seed: int) -> Mix:
     n, t = np.array(sizes, np.int64), np.array(goals)
@@ -87,29 +100,38 @@ def draw(names: list, sizes: list[int], goals: list[float], block_words: int, sh
     slots = whole * blocks + np.minimum(np.rint((t - whole * n) / block).astype(np.int64), blocks)
     rng, owed = np.random.default_rng(seed), slots.copy()
     per = -(-int(slots.sum()) // shards)
-    counts = np.zeros((shards, len(n)), np.int64)
+    counts = np.zeros((shards, len(n)), np.int32)
     for k in range(shards):
         room = min(per, int(owed.sum()))
         while room:
             got = np.minimum(rng.multinomial(room, owed / owed.sum()), owed)
-            counts[k] += got
+            counts[k] += got.astype(np.int32)
             owed -= got
             room -= int(got.sum())
-    flat = counts.ravel()
-    return Mix(names, n, t, block, blocks, np.concatenate(([0], np.cumsum(flat))), (np.cumsum(counts, axis=0) - counts).ravel(), np.concatenate(([0], np.cumsum(counts.sum(axis=1)))), seed)
+    return Mix(names, n, t, block, blocks, counts, seed)
+
+
+def coded(column: pa.Array) -> tuple[np.ndarray, list]:
+    """(a number for each row, the value of each number); null has one too."""
+    found = column.dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
 
 
 def _order_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds part, nth and the words of the same source before a row in its partition; rows come sorted by source."""
-    part, nth, source, words = TaskContext.get().partitionId(), 0, object(), 0
+    part, nth, source, words = TaskContext.get().partitionId(), 0, object(), 0  # the last row's source, and its words so far
     for batch in batches:
-        before = []
-        for s, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if s != source:
-                source, words = s, 0
-            before.append(words)
-            words += size
         n = batch.num_rows
+        if not n:
+            continue
+        code, names = coded(batch.column(1))
+        size = batch.column(2).to_numpy(zero_copy_only=False)
+        head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        run = np.cumsum(size) - size
+        before = run - np.repeat(run[head], np.diff(np.concatenate((head, [n]))))
+        if names[code[0]] == source:
+            before[: head[1] if len(head) > 1 else n] += words
+        source, words = names[code[-1]], int(before[-1] + size[-1])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(nth, nth + n)), pa.array(before, pa.int64())], [*batch.schema.names, "part", "nth", "before"]
         )
@@ -119,16 +141,17 @@ def _order_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slots_udf(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        starts, before, shard_starts = m.places()
         for batch in batches:
             g = batch.column(0).to_numpy(zero_copy_only=False)
-            cell = np.searchsorted(m.starts, g, side="right") - 1
+            cell = np.searchsorted(starts, g, side="right") - 1
             source, shard = cell % len(m.names), cell // len(m.names)
-            turn = m.before[cell] + g - m.starts[cell]
+            turn = before[cell] + g - starts[cell]
             epoch, index = np.divmod(turn, m.blocks[source])
             key = (m.seed * 1_000_003 + source) * 7919 + epoch + 1
             block = permuted(index, m.blocks[source], key)
-            size = m.shard_starts[shard + 1] - m.shard_starts[shard]
-            slot = permuted(g - m.shard_starts[shard], size, shard + 104_729 * (m.seed + 1))
+            size = shard_starts[shard + 1] - shard_starts[shard]
+            slot = permuted(g - shard_starts[shard], size, shard + 104_729 * (m.seed + 1))
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(slot), pa.array(source.astype(np.int32)), pa.array(block)], ["shard", "slot", "src", "block"])
 
     return run
@@ -141,8 +164,10 @@ def _blocks_udf(shared, offsets):
         for batch in batches:
             ids, source, size, part, nth, before = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "source", "size", "part", "nth", "before"))
             size, part, nth, before = (c.to_numpy(zero_copy_only=False) for c in (size, part, nth, before))
-            src = np.array([number[s] for s in source.to_pylist()], np.int64)
-            start = before + np.array([starts[p, k] for p, k in zip(part.tolist(), src.tolist())], np.int64)
+            code, names = coded(source)
+            src = np.array([number[s] for s in names], np.int64)[code]
+            both, where = np.unique(np.stack((part.astype(np.int64), src)), axis=1, return_inverse=True)
+            start = before + np.array([starts[p, k] for p, k in both.T.tolist()], np.int64)[where.reshape(-1)]
             width = m.block[src]
             low, high = start // width, np.where(size > 0, (start + size - 1) // width, start // width)
             times = high - low + 1
@@ -201,7 +226,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         sizes[number[r.source]] += r.words
     mix = draw(names, sizes, targets(sizes), block_words, shards, seed)
     shared, starts = spark.sparkContext.broadcast(mix), spark.sparkContext.broadcast(offsets)
-    slots = spark.range(0, int(mix.starts[-1]), 1, parts).mapInArrow(_slots_udf(shared), "shard int, slot long, src int, block long")
+    slots = spark.range(0, mix.slots, 1, parts).mapInArrow(_slots_udf(shared), "shard int, slot long, src int, block long")
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.select("id", "source", "size", "part", "nth", "before").mapInArrow(
         _blocks_udf(shared, starts), f"row long, id {kind}, size long, source_size long, target double, src int, block long, first long, last long"
