@@ -88,17 +88,18 @@ def describe(text: bytes) -> dict:
 
 
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-MEDIA = ", media binary, times array<int>, codes array<int>"
+PAIRS, MEDIA = ", times array<int>, codes array<int>", ", media binary"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
-    """One row per input row: id, sizes and digests of payload and WAV, and a feature: the number of
-    fingerprint pairs and a checksum over them. with_media adds the WAV bytes and the time-coded
-    arrays. Null is empty, and an empty text is one unit of blanks. Equal texts give equal values.
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_pairs: bool = True, with_media: bool = False) -> DataFrame:
+    """One row per input row: id, sizes and digests of payload and WAV, a feature (the number of
+    fingerprint pairs and a checksum over them), and with_pairs the time-coded arrays: each pair's frame
+    and code, sorted. with_media adds the WAV bytes. Null is empty, and an empty text is one unit of blanks. Equal texts give equal values.
     """
     bound_batches(docs.sparkSession)
-    names = [x.split()[0] for x in (SCHEMA + MEDIA * with_media).split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in (SCHEMA + MEDIA * with_media).split(", ")]
+    schema = SCHEMA + PAIRS * with_pairs + MEDIA * with_media
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,4 +111,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(got, kinds))], ["id", *names])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, {SCHEMA}{MEDIA * with_media}").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from brindle.llm import language_id as language_id_module
 from brindle.llm import quality
 from brindle.llm.language_id import language_id
 from brindle.llm.ngrams import BUCKETS, counts_of
@@ -37,6 +38,42 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def slow_probabilities(model, text):
+    """Subwords one by one: hashed, embeddings averaged, a softmax."""
+    data = [32, *(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()), 32]
+    total, n = np.zeros(len(model.labels)), 0
+    for size in language_id_module.SIZES:
+        for k in range(max(0, len(data) - size + 1)):
+            h = size
+            for j, b in enumerate(data[k : k + size]):
+                h = (h + (b + 1) * pow(0x9E3779B1, j + 1, 1 << 32)) % (1 << 32)
+            total, n = total + model.table[(h * 0x85EBCA6B % (1 << 32)) >> 19], n + 1
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_language_scores_by_single_subwords(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.orderBy("doc_id").collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    model = language_id_module.fit([r.text for r in learn[:400]], [r.lang for r in learn[:400]])
+    texts = ["The Cat", "é", "a", "ab cd", "Über den Wolken", None, "x" * 50] + [r.text for r in rows[:25]]
+    got = model.probabilities(counts_of(texts, language_id_module.SIZES, True))
+    for p, t in zip(got, texts):
+        assert p == pytest.approx(slow_probabilities(model, t), abs=1e-4)
+
+
+def test_ties_have_one_answer(spark):
+    """Equal texts get equal answers, also where labels or languages tie."""
+    learn = spark.createDataFrame([(i, "same words here", ("en", "de")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, "same words here") for i in range(6)], "doc_id long, text string")
+    assert len({(r.lang_pred, r.score) for r in language_id(spark, docs, learn).collect()}) == 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    scores = {(r.score, r.predicted) for r in quality_scores(spark, docs, labels).collect()}
+    assert len(scores) == 1 and scores.pop()[0] == pytest.approx(0.5)
+
+
 def test_language_edges(spark):
     learn = spark.createDataFrame([(i, "the cat and the dog " * 3, "en") for i in range(20)] + [(i, "der hund und die katze " * 3, "de") for i in range(20, 40)] + [(50, None, "en"), (51, "x", None)], "doc_id long, text string, lang string")
     docs = spark.createDataFrame([(1, None, 1, 2), (2, "", 1, 2), (3, "123 !?", 1, 2), (4, "the dog", 1, 2), (5, "die katze", 1, 2), (6, "a", 1, 2), (6, "a", 1, 2), (None, "the " * 50_000, 1, 2)], "doc_id long, text string, score int, _text int")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
+import struct
 import wave
 import zlib
 
@@ -55,6 +57,36 @@ def test_whole_small_table(spark, sf_dir):
         assert same.setdefault(t, rows[i].feature) == rows[i].feature
 
 
+def slow_feature(text):
+    """The feature by plain sums: windowed frames, a Fourier sum for each bin, peaks, pairs."""
+    payload = payload_of((text or "").encode())
+    x = [float(b) - 128 for b in payload] + [0.0] * max(0, FRAME - len(payload))
+    top = []
+    for start in range(0, len(x) - FRAME + 1, UNIT):
+        frame = np.array([x[start + k] * (0.5 - 0.5 * math.cos(2 * math.pi * k / (FRAME - 1))) for k in range(FRAME)])
+        power = [abs(np.sum(frame * np.exp(-2j * np.pi * f * np.arange(FRAME) / FRAME))) for f in range(192)]
+        top.append([max(range(a, b), key=lambda f: round(power[f], 3)) for a, b in ((4, 24), (24, 72), (72, 192))])
+    found = []
+    for gap in (1, 2):
+        for t in range(len(top) - gap):
+            found += [(t, top[t][i] << 10 | top[t + gap][j] << 2 | gap) for i, j in ((0, 0), (0, 1), (1, 1), (1, 2), (2, 2))]
+    found.sort()
+    packed = lambda k: b"".join(struct.pack("<i", p[k]) for p in found)
+    return f"{len(found)}:{zlib.crc32(packed(0) + packed(1)):08x}", [p[0] for p in found], [p[1] for p in found]
+
+
+def test_feature_by_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    texts = [None, "a", "".join(map(chr, rng.integers(32, 127, 700))), "".join(map(chr, rng.integers(32, 127, 1500))), "The quick brown fox jumps. " * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")  # a repeated row
+    got = media_columns(df).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        feature, times, codes = slow_feature(texts[r.doc_id])
+        assert len(r.times) == len(times) and list(r.times) == times
+        assert (r.feature, list(r.codes)) == (feature, codes)
+
+
 def test_peaks_find_a_tone():
     t = np.arange(UNIT * 40)
     wave_ = (128 + 60 * np.sin(2 * np.pi * 30 * t / FRAME)).astype(np.uint8).tobytes()

@@ -69,6 +69,13 @@ def test_null_and_repeated_ids(spark):
     assert got == [("5", 5), ("5", 5), ("None", 5), ("None", None)]
 
 
+def test_long_texts(spark):
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-1])), (3, "y" * 3_000_000), (4, "Y" * 3_000_000), (5, "b " * 500_000)]
+    check(spark, rows)
+
+
 def test_every_close_pair_shares_a_key():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**64, 4000, dtype=np.uint64)
