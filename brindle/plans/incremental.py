@@ -11,7 +11,7 @@ from ..operators import gates as g
 from ..operators import services as sv
 from ..session import shared_folder
 from ..sources.sinks import archive_split, content_hash, replace
-from .tables import query, sql, state, stories, summaries, table, usage
+from .tables import query, spread, sql, state, stories, summaries, table, usage
 
 
 @query("post_changed", sql("stories state", """SELECT id, CASE WHEN p.story_id IS NULL THEN true WHEN id % 4 = 0 THEN false WHEN id % 7 = 0 THEN false ELSE p.input_hash IS DISTINCT FROM 'h' || id % 2 END AS changed
@@ -143,19 +143,19 @@ def page_extract(spark, sf):
     """Article text of every page as Markdown, and its verdict."""
     from ..functions.quality import extract_metrics, is_article
 
-    md = table(spark, sf, "pages").select("page_id", mk.batched(mk.page_markdown, "string", F.col("html")).alias("md"))
+    md = spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", mk.batched(mk.page_markdown, "string", F.col("html")).alias("md"))
     return md.select("page_id", F.length("md").alias("chars"), F.sha2("md", 256).alias("sha"), is_article(extract_metrics(F.col("md"))).alias("article"))
 
 
 @query("plain_comments")
 def plain_comments(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", mk.batched(mk.html_plain, "string", F.col("html")).alias("plain"))
+    p = spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", mk.batched(mk.html_plain, "string", F.col("html")).alias("plain"))
     return p.select("page_id", F.length("plain").alias("chars"), F.sha2("plain", 256).alias("sha"))
 
 
 @query("render_html")
 def render_html(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", mk.batched(mk.markdown_html, "string", F.col("text")).alias("html"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", mk.batched(mk.markdown_html, "string", F.col("text")).alias("html"))
     return d.select("doc_id", F.length("html").alias("chars"), F.sha2("html", 256).alias("sha"))
 
 

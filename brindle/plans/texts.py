@@ -10,7 +10,7 @@ from ..functions import tags as tg
 from ..functions import text as t
 from ..functions.language_gate import purity
 from .filters import CHARS, HOST, duck_line, duck_trim, duck_words
-from .tables import RELATIONS, TAGS, query, quoted, sql, stories, story_tags, summaries, table
+from .tables import RELATIONS, TAGS, query, quoted, spread, sql, stories, story_tags, summaries, table
 
 
 def phrases(text: str, items: tuple[str, ...], pad: str = "") -> str:
@@ -46,7 +46,7 @@ DOCS = "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL WHEN doc_id % 50 = 8
 
 def shaped(spark, sf):
     """documents, with texts of special shapes at some ids."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.expr(
             """CASE WHEN doc_id % 50 = 7 THEN NULL WHEN doc_id % 50 = 8 THEN ' ' WHEN doc_id % 50 = 9 THEN repeat('- point \\n', 12)
@@ -104,7 +104,7 @@ OF_INSIGHTS = "[" + ", ".join(f"'{r}'" for r in q.INSIGHT_REASONS) + "]"
 @query("insight_triggers", "WITH " + trigger_sql(INSIGHTS, "doc_id") + f""", c AS (SELECT doc_id, len(regexp_extract_all(x, '\\p{{Cyrillic}}')) AS a, len(regexp_extract_all(x, '\\p{{Latin}}')) AS b FROM (SELECT doc_id, {PROSE.replace("text", "raw")} AS x FROM ({INSIGHTS})))
     SELECT doc_id, array_to_string(list_concat(list_filter(reasons, lambda x: list_contains({OF_INSIGHTS}, x)), CASE WHEN a + b > 0 AND a / CAST(a + b AS DOUBLE) < 0.65 THEN ['low_cyrillic_ratio'] ELSE [] END), ',') AS reasons FROM found JOIN c USING (doc_id)""")
 def insight_triggers(spark, sf):
-    d_ = table(spark, sf, "documents")
+    d_ = spread(table(spark, sf, "documents").select("doc_id", "text"))
     text = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(text, ' As an AI') WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') ELSE text END")
     return d_.select("doc_id", F.array_join(q.insight_triggers(text, 0.65), ",").alias("reasons"))
 
@@ -124,7 +124,7 @@ COUNT = f"(len({duck_words('x')}) + CAST(ceil(len(regexp_extract_all(x, '{NO_SPA
     SELECT doc_id, prose_chars, round(ld, 6) AS link_density, round(dr, 6) AS dup_ratio, round(pr, 6) AS phrase_dup_ratio, word_count, n_lines,
       prose_chars >= 500 AND ld <= 0.5 AND dr <= 0.5 AND pr <= 0.5 AS article FROM e""")
 def extract_metrics(spark, sf):
-    m = table(spark, sf, "documents").select("doc_id", q.extract_metrics(F.col("text")).alias("m"))
+    m = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", q.extract_metrics(F.col("text")).alias("m"))
     ratios = [F.round(f"m.{c}", 6).alias(c) for c in ("link_density", "dup_ratio", "phrase_dup_ratio")]
     return m.select("doc_id", "m.prose_chars", *ratios, "m.word_count", F.col("m.lines").alias("n_lines"), q.is_article(F.col("m")).alias("article"))
 
@@ -141,7 +141,7 @@ def longest_word_run(spark, sf):
 def latin_runs(spark, sf):
     """Language purity of Russian texts with English in them: findings depend on neighbouring tokens."""
     text = F.concat(F.lit("Проект обсуждает "), "text", F.lit(" и решает precedents сам."))
-    p = table(spark, sf, "documents").select("doc_id", purity(text).alias("p"))
+    p = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", purity(text).alias("p"))
     return p.select("doc_id", F.round("p.cyrillic_ratio", 6).alias("ratio"), "p.low_ratio", F.size("p.runs").alias("runs"), F.array_join("p.singles", ",").alias("singles"))
 
 

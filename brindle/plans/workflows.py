@@ -20,7 +20,7 @@ from ..session import shared_folder
 from ..sources import readers, sinks
 from .collections import CUTOFF, NEEDS, POLICY_OPEN, PUBLISHED, TAG_LIST, TS, collection, in_places, legacy_backlog, ts
 from .filters import HOST
-from .tables import ORACLES, evaluation, query, sql, state, stories, story_tags, summaries, table
+from .tables import ORACLES, evaluation, query, spread, sql, state, stories, story_tags, summaries, table
 from .texts import DROP_LIST, PROSE, WEIGH, trigger_sql
 
 # Selections
@@ -73,7 +73,7 @@ GUARDED = "CASE WHEN key % 7 = 0 THEN NULL ELSE key % 5 <> 0 END"
 
 
 def drafts(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, range(3)))).alias("attempt"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode(F.array(*map(F.lit, range(3)))).alias("attempt"))
     raw = F.expr("""CASE WHEN attempt = 2 THEN text WHEN attempt = 1 AND doc_id % 4 <> 1 THEN substring(text, 1, cast(150 + doc_id % 300 as int)) WHEN doc_id % 6 = 0 THEN concat('I cannot do it. ', text)
         WHEN doc_id % 6 = 1 THEN 'short' WHEN doc_id % 6 = 2 THEN concat('{', substring(text, 1, 400)) ELSE substring(text, 1, cast(80 + doc_id % 500 as int)) END""")
     key = F.col("doc_id") * 3 + F.col("attempt")
@@ -116,7 +116,7 @@ KIND = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'html' WHEN 2 THEN 'reader'
     SELECT doc_id, CASE WHEN kind IS NULL THEN 'fetch' ELSE verdict END AS verdict FROM now WHERE kind IS NULL OR (kind IN ('html', 'reader') AND verdict <> old)""")
 def article_verdicts(spark, sf):
     """What a run changes in cached extracts: verdicts of HTML and reader texts that today's thresholds turn, and old extracts of no known kind, which are fetched again."""
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.expr(KIND).alias("kind"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'no-article' END").alias("old"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", F.expr(KIND).alias("kind"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'no-article' END").alias("old"))
     verdict = F.when(q.is_article(q.extract_metrics(F.col("text"))), F.lit("ok")).otherwise(F.lit("no-article"))
     judged = rows.where("kind IN ('html', 'reader')").withColumn("verdict", verdict).where("verdict <> old").select("doc_id", "verdict")
     return judged.unionByName(rows.where("kind IS NULL").select("doc_id", F.lit("fetch").alias("verdict")))
@@ -126,7 +126,7 @@ def article_verdicts(spark, sf):
 def language_triggers(spark, sf):
     """Triggers of Russian summaries, their language judged by the purity gate."""
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Проект обсуждает "), "text", F.lit(" и решает precedents сам."))).otherwise(F.expr("repeat('Это длинный русский текст о проекте и его людях. ', 5)"))
-    rows = table(spark, sf, "documents").select("doc_id", text.alias("raw")).withColumn("p", purity(F.col("raw")))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.alias("raw")).withColumn("p", purity(F.col("raw")))
     prose = (F.size("p.runs") > 0) | (F.size("p.singles") > 0)
     return rows.select("doc_id", F.array_join(q.triggers(F.col("raw"), language_flags=(F.col("p.low_ratio"), prose)), ",").alias("reasons"))
 
@@ -141,7 +141,7 @@ MIXED = "CASE WHEN doc_id % 3 = 0 THEN text || ' Привет мир `код`' W
 def threshold_sweep(spark, sf):
     """For candidate thresholds, how many texts fall below, and how many labels agree: one pass over the texts."""
     ratio = q.cyrillic_ratio(F.expr(MIXED))
-    rows = table(spark, sf, "documents").select("doc_id", ratio.alias("ratio"), F.explode(F.array(*map(F.lit, RATIOS))).alias("threshold"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", ratio.alias("ratio"), F.explode(F.array(*map(F.lit, RATIOS))).alias("threshold"))
     below = F.col("ratio") < F.col("threshold")
     return rows.groupBy("threshold").agg(F.count_if(below).alias("hits"), F.count_if(below == (F.col("doc_id") % 3 < 2)).alias("agreed"), F.count("*").alias("n"))
 
