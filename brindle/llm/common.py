@@ -26,6 +26,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out where the scan of a small table has fewer tasks than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes and rows, unless the session has bounds of its own (other than Spark's defaults)."""
     for key, default, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS)):

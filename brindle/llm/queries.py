@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, remainder
+from .common import documents, remainder, spread
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .language_model import lm_scores
@@ -21,15 +21,15 @@ from .simhash import simhash_components
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark, documents(spark, sf_dir))
+    return remove_repeats(spark, spread(documents(spark, sf_dir)))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark, documents(spark, sf_dir))
+    return pack(spark, spread(documents(spark, sf_dir)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     learn = docs.where(remainder(4) != 2)
     out = language_id(spark, docs.withColumn("held_out", remainder(4) == 2), learn, keep=("held_out",))
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -41,20 +41,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(documents(spark, sf_dir)).drop("found")
+    return find_secrets(spread(documents(spark, sf_dir))).drop("found")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(spark, documents(spark, sf_dir))
+    return simhash_components(spark, spread(documents(spark, sf_dir)))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", remainder(10) == 0)
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text")).withColumn("held_out", remainder(10) == 0)
     return lm_scores(spark, docs.withColumn("learn", ~F.col("held_out")), keep=("held_out",))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(documents(spark, sf_dir))
+    return media_columns(spread(documents(spark, sf_dir)))
 
 
 def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
     out = quality_scores(spark, docs.withColumn("held_out", remainder(3) == 1), learnable_labels(spark, sf_dir), keep=("held_out",))
     return out.select("doc_id", "held_out", "score", "predicted")
 
