@@ -19,7 +19,7 @@ def _star(edges: DataFrame, scratch: Scratch, name: str, large: bool) -> DataFra
     both = edges.select("a", "b")
     if large:
         both = both.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = scratch.save(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")), f"{name}-low")
+    low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
     joined = both.join(low, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -40,7 +40,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while not _is_done(edges):
         mid = _star(edges, scratch, f"large{step}", True)
         edges = _star(mid, scratch, f"small{step}", False)
-        for name in (before, f"large{step}", f"large{step}-low", f"small{step}-low"):
+        for name in (before, f"large{step}"):
             scratch.drop(name)
         before, step = f"small{step}", step + 1
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
