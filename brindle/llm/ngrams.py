@@ -73,5 +73,8 @@ def in_order(rows: list) -> list:
 
 
 def counts_of(texts: list[str | None], sizes: tuple[int, ...], fold: bool) -> np.ndarray:
-    got = list(blocks(pa.array(texts, pa.string()), sizes, fold))
-    return np.concatenate(got) if got else np.zeros((0, BUCKETS), np.float32)
+    out, at = np.zeros((len(texts), BUCKETS), np.float32), 0
+    for counts in blocks(pa.array(texts, pa.string()), sizes, fold):
+        out[at : at + len(counts)] = counts
+        at += len(counts)
+    return out

@@ -38,7 +38,10 @@ class QualityModel:
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        v = weigh(counts, self.idf) @ self.axes
+        return self.normalised(weigh(counts, self.idf) @ self.axes)
+
+    @staticmethod
+    def normalised(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -71,25 +74,27 @@ def terms(counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return np.concatenate((counts, np.array([repetition(t) for t in texts], np.float32).reshape(-1, 2)), axis=1)
 
 
-def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weigh(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Shares of a text's n-grams, square-rooted and idf-weighted: long and short texts compare."""
-    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    return np.sqrt(share) * idf
+    share = np.divide(counts, np.maximum(counts.sum(axis=1, keepdims=True), 1), out=out)
+    np.sqrt(share, out=share)
+    share *= idf
+    return share
 
 
 def fit(texts: list[str | None], labels: list[int], prior: float, dim: int = 48, neighbours: int = 15) -> QualityModel:
     y = np.array(labels, float)
     if not len(y):
         return QualityModel(np.ones(BUCKETS + 2, np.float32), np.zeros((BUCKETS + 2, 1), np.float32), np.zeros((0, 1), np.float32), y, y, neighbours, prior)
-    counts = terms(counts_of(texts, SIZES, False), [(t or "").encode() for t in texts])
-    idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = weigh(counts, idf)
+    x = terms(counts_of(texts, SIZES, False), [(t or "").encode() for t in texts])
+    idf = np.log((1 + len(y)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+    x = weigh(x, idf, out=x)
     values, left = np.linalg.eigh(x @ x.T)  # singular vectors of the sample, through its small Gram matrix
     top = np.argsort(-values)[: min(dim, len(y))]
     top = top[values[top] > 1e-9]
     axes = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
     model = QualityModel(idf, axes, np.zeros(0), y, np.ones(len(y)), neighbours, prior)
-    model.vectors = model.embed(counts).astype(np.float32)
+    model.vectors = model.normalised(x @ axes).astype(np.float32)
     share = max(y.mean(), 1e-9)
     if 0 < y.mean() < 1:  # the sample has labels in other shares than the table
         model.weights = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
