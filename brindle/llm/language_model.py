@@ -40,6 +40,7 @@ EDGE = 0xFF  # before and after a text
 TOP = 2  # depth of the contexts whose subtrees a task weighs
 FLUSH = 150_000  # distinct words that a task holds before it hands them on
 GRAM_FLUSH = 1_000_000  # distinct byte strings that it does
+SCORE_BYTES = 512 << 10  # bytes whose strings are looked up at once: sorting them stays in the cache
 WEIGH = 400_000  # byte strings whose subtrees are weighed at once; one group of more goes whole
 NODE_SCHEMA = "key long, level int, zeros long, ones long, weighted double"
 
@@ -273,7 +274,7 @@ def text_scores(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray,
 
 def batch_scores(texts: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     data, offsets = buffer(texts)
-    return np.concatenate([np.zeros(0), *(text_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table) for i, j in runs(offsets))])
+    return np.concatenate([np.zeros(0), *(text_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table) for i, j in runs(offsets, SCORE_BYTES))])
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,14 +367,16 @@ def lm_scores(spark: SparkSession, docs: DataFrame, learn: str = "learn", id_col
     dealt = grams.repartition(parts, F.shiftright("code", GROUP)).sortWithinPartitions("code")
     top = dealt.mapInArrow(top_nodes, NODE_SCHEMA).toArrow()  # at most 65,793 x 255 rows
     above = spark.sparkContext.broadcast(Above(*(top.column(k).to_numpy() for k in range(5))))
+    del top
     logs = scratch.save(dealt.mapInArrow(_logs_udf(above), "code long, log float"), "logs")
     shards = max(1, -(-logs.count() // shard))
 
     def table(k: int) -> tuple[np.ndarray, np.ndarray]:
         found = logs.where(F.pmod(F.xxhash64("code"), F.lit(shards)) == k).toArrow()
-        code = found.column("code").to_numpy()
+        code, log = found.column("code").to_numpy(), found.column("log").to_numpy()
+        del found
         by = np.argsort(code)
-        return code[by], found.column("log").to_numpy()[by]
+        return code[by], log[by]
 
     def log10_of(c: float) -> float:
         return float(np.log10((c + smooth) / (total + smooth * (kinds + 1)))) if total + smooth * (kinds + 1) else 0.0
