@@ -41,7 +41,7 @@ GRAM = 32
 PIECE = 8 << 20
 POSITION_BITS = np.uint64(24)
 #: Bytes whose suffixes a task sorts at once, and of one anchor's different regions before they are split.
-SORT_BYTES, GROUP_BYTES = 1_400_000, 128 << 10
+SORT_BYTES, GROUP_BYTES = 1_400_000, 512 << 10
 #: Offsets around an anchor that stay together when a group is split, and split again.
 SPLITS = (46, 6, 1)
 
@@ -308,7 +308,7 @@ def _repeats(spark: SparkSession, scratch: Scratch, distinct: DataFrame, lengths
     return scratch.save(found.unionAll(joined), f"all{level}")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, words: int = 50, short: int = 256, with_text: bool = False, piece: int = PIECE) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, words: int = 50, short: int = 320, with_text: bool = False, piece: int = PIECE) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with_text the kept bytes.
 
     Texts are UTF-8 bytes, null is empty, matches stay within a document but may lie in the same one and

@@ -91,8 +91,8 @@ def test_text_of_more_than_eight_mebibytes(spark):
 def test_passages_of_less_than_400_bytes(spark):
     rng = random.Random(7)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
-    passage, brief = prose(60), prose(45)
-    assert len(passage) < 400 and len(brief) > 230
+    passage, brief = prose(66), prose(45)
+    assert 330 < len(passage) < 400 and len(brief) > 230
     rows = [(i, f"{prose(90)} {passage} {prose(40)}") for i in range(3)] + [(i, f"{prose(90)} {brief} {prose(40)}") for i in range(3, 6)] + [(6, prose(300))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_passages) for r in remove_repeats(spark, df).collect()}
@@ -101,7 +101,7 @@ def test_passages_of_less_than_400_bytes(spark):
 
 def test_whole_small_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
-    check(spark, rows, 400, 256)
+    check(spark, rows, 400, 320)
 
 
 def test_empty_table(spark):
