@@ -121,12 +121,7 @@ def release_gate(spark, sf):
 
 
 def bootstrap_of(e) -> tuple[int, float | None]:
-    deltas = stats.story_deltas(e).cache()
-    if deltas.count() > stats.MAX_STORIES:
-        raise ValueError(f"more than {stats.MAX_STORIES} stories in an evaluation")
-    values = [r.delta for r in deltas.orderBy("story_id").collect()]
-    deltas.unpersist()
-    return len(values), stats.bootstrap_lower(values, 1)
+    return stats.bootstrap_bound(stats.story_deltas(e), 1)
 
 
 @query("release_gate_full")
@@ -139,7 +134,7 @@ def release_gate_full(spark, sf):
 
 @query("bootstrap_bound")
 def bootstrap_bound(spark, sf):
-    """Lower bound of the mean paired difference, resampled with the seeded generator. The stories of one evaluation are few, which is checked; their means come to the driver."""
+    """Lower bound of the mean paired difference, resampled with the seeded generator."""
     return spark.createDataFrame([bootstrap_of(evaluation(spark, sf))], "n int, lower double")
 
 

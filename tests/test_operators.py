@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from brindle.operators import services as sv
 from brindle.operators import state as st
 from brindle.operators import stats, threads
+from brindle.plans.catalog import QUERIES
+from brindle.plans.tables import evaluation
 from brindle.sources import readers, sinks
 from brindle.sources.ranges import bisect, ranged_source
 from brindle.streaming import microbatch as mb
@@ -100,6 +102,31 @@ def test_bootstrap():
     assert np.allclose(stats.random_stream(7, 30, 20), slow(7, 50)[20:])
 
 
+def test_bootstrap_over_a_table(spark):
+    """In one lot of values and in several, with a null id; and as the plain sums of a generator that comes round."""
+    values = np.random.default_rng(5).normal(size=503)
+    rows = spark.createDataFrame([(None if k == 0 else k * 7, float(v)) for k, v in enumerate(values)], "story_id long, delta double").repartition(3)
+    want = stats.bootstrap_lower(list(values), 1, 300)
+    for stories in (1000, 503, 120):
+        n, lower = stats.bootstrap_bound(rows, 1, 300, stories)
+        assert n == 503 and abs(lower - want) < 1e-12
+    assert stats.bootstrap_bound(rows.limit(0), 1, 300) == (0, None)
+    numbers = np.random.default_rng(6).random(64)
+    for n, iterations in ((3, 7), (10, 30), (64, 5), (200, 9)):
+        cuts = stats.segments(n, iterations, 64)
+        sums = np.array([numbers[a:b].sum() for a, b in zip(cuts, cuts[1:])])
+        slow = np.resize(numbers, n * iterations).reshape(iterations, n).sum(axis=1)
+        assert np.allclose(stats.resampled(cuts, sums, n, iterations, 64), slow, atol=1e-9)
+
+
+def test_bootstrap_bound_of_many_stories(spark, tmp_path):
+    """More stories than 100,000 used to be an error."""
+    spark.range(1, 130_001).toDF("doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["bootstrap_bound"](spark, str(tmp_path)).first()
+    assert got.n == stats.story_deltas(evaluation(spark, str(tmp_path))).count() > 100_000
+    assert got.lower == 0.5  # every story's difference
+
+
 def test_services(spark):
     prompts = spark.createDataFrame([(1, "a b c"), (2, "")], "id long, prompt string")
     model = sv.EchoModel({"busy": 429, "broken": 500}, frozenset({"obj"}))
