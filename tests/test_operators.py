@@ -127,6 +127,14 @@ def test_bootstrap_bound_of_many_stories(spark, tmp_path):
     assert got.lower == 0.5  # every story's difference
 
 
+def test_release_gate_of_many_stories(spark, tmp_path):
+    """All ten checks beyond 100,000 stories, nine of them as the gate without the bootstrap has them."""
+    spark.range(1, 120_001).toDF("doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [tuple(r) for r in QUERIES["release_gate_full"](spark, str(tmp_path)).collect()]
+    assert got.pop(2) == ("bootstrap_95_lower", True)
+    assert got == [tuple(r) for r in QUERIES["release_gate"](spark, str(tmp_path)).collect()]
+
+
 def test_services(spark):
     prompts = spark.createDataFrame([(1, "a b c"), (2, "")], "id long, prompt string")
     model = sv.EchoModel({"busy": 429, "broken": 500}, frozenset({"obj"}))
