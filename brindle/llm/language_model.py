@@ -41,7 +41,8 @@ TOP = 2  # depth of the contexts whose subtrees a task weighs
 FLUSH = 150_000  # distinct words that a task holds before it hands them on
 GRAM_FLUSH = 1_000_000  # distinct byte strings that it does
 SCORE_BYTES = 512 << 10  # bytes whose strings are looked up at once: sorting them stays in the cache
-WEIGH = 400_000  # byte strings whose subtrees are weighed at once; one group of more goes whole
+GRAM_BYTES = 1 << 20  # bytes whose strings are counted at once: some 80 MB
+WEIGH = 200_000  # byte strings whose subtrees are weighed at once; one group of more goes whole
 NODE_SCHEMA = "key long, level int, zeros long, ones long, weighted double"
 
 
@@ -90,7 +91,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffer(batch.column(0))
         learn = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-        for i, j in runs(offsets):
+        for i, j in runs(offsets, GRAM_BYTES):
             codes = gram_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             mine = np.repeat(learn[i:j], np.diff(offsets[i : j + 1]) + 1)
             held.append(tally(codes[mine]))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm.common import documents
@@ -174,3 +176,15 @@ def test_query_base(spark, sf_dir):
 
 def test_counting_needs_no_text():
     assert list(count_grams(iter(()))) == []
+
+
+def test_counting_strings_takes_bounded_memory():
+    """A batch of 4 MB used to take 278 MB at its peak."""
+    rng = np.random.default_rng(3)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 40_000))) for _ in range(100)])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array([True] * 100)], ["text", "learn"])
+    tracemalloc.start()
+    total = sum(int(b.column(1).to_numpy().sum()) for b in count_grams(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 100 * 40_001 and peak < 220 << 20
