@@ -1,6 +1,13 @@
-"""Near-dedup at a similarity threshold, exact: prefixes of shingle sets give candidates, which are verified on the sets.
+"""Near-dedup at a similarity threshold: Golay-code keys of SimHash fingerprints give the first candidates, prefixes of shingle
+sets all that are left; all are verified on the sets.
 
-A text is the set of its `width`-word shingles' hashes. Put all shingles in one order, frequent ones last. Of two sets with
+Golay keys, as in simhash.py. Its 64 bits and two errors hardly reach 0.8 of the five-word shingles, so a fingerprint has 128 bits
+here, of two-word shingles: such texts differ in about a twelfth of them. Three segments of 23 bits are decoded to indices of
+codewords, and keys are pairs of segments' indices: errors that spoil one segment leave a pair (pigeonhole). A key gives out a
+minimum spanning forest of its fingerprints and each one's nearest. What verifies makes groups; fingerprints are no bound, so a
+copy that was cut off or added to may have no such key.
+
+Prefixes, for the rest, exactly. A text is the set of its `width`-word shingles' hashes. Put all shingles in one order, frequent ones last. Of two sets with
 Jaccard similarity t or more, each shares t of its shingles at least, so the first n - ceil(t n) + 1 of each (its prefix)
 have one in common. The prefix shingles that several texts have are keys. Which shingles are frequent comes from a sample of
 the texts; that decides how crowded keys are, not what is found.
@@ -19,6 +26,7 @@ meet in keys.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, buffer, rows_of
 from .components import components
-from .simhash import _shingles
+from .repeats import _mix
+from .simhash import ERROR, FOUR, HIGH, LOW, WEIGHT, _shingles, majorities
 
 #: Shingles known as frequent: of one row in SAMPLE, those that OFTEN rows or more have, at most KNOWN (16 bytes each are
 #: broadcast). They only order prefixes; any order gives all pairs.
@@ -39,8 +48,14 @@ BITS = 256
 BLOCK = 4096
 #: Texts of a key up to which pairs are compared by shifting, and pairs that are compared at once in a larger one.
 SHIFT_MAX, AT_ONCE = 32, 1 << 18
-#: Times that each text of a key gives out its nearest only, before all pairs between groups are.
-ROUNDS = 2
+#: Times that each text of a key gives out its nearest only, after the Golay keys and before all pairs between groups are.
+ROUNDS = 1
+#: Of a fingerprint: words of its shingles, and segments as (lane of 64 bits, first bit).
+PRINT_WIDTH, SEGMENTS = 2, ((0, 0), (0, 23), (1, 0))
+#: Bits that Golay candidates may differ in (of similarity 0.8: about 11 of 128, deviation 3; unrelated ones: 64), and each one's nearest beside the forest.
+CLOSE, NEAREST = 22, 2
+#: Fingerprints of a Golay key that are compared with each other; of a larger key, so many at a time.
+MATRIX = 1024
 #: What a similarity computed in floating point may be off by.
 SLACK = 1e-6
 
@@ -74,13 +89,119 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lanes of 64 bits for each text: majorities over its shingles of PRINT_WIDTH words."""
+    lanes, hashes, sizes, held = ([], []), [], [], 0
+    for k, text in enumerate(texts):
+        s = _shingles(text, PRINT_WIDTH)
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(42)), np.uint64, len(s)))
+        sizes.append(len(s))
+        held += len(s)
+        if held > 200_000 or k == len(texts) - 1:
+            h = np.concatenate(hashes)
+            for lane, values in zip(lanes, (h, _mix(h + np.uint64(43)))):
+                lane.append(majorities(values, np.array(sizes)))
+            hashes, sizes, held = [], [], 0
+    return tuple(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in lanes)
+
+
+def indices(word: np.ndarray) -> np.ndarray:
+    """[rows, 6]: indices of the codewords within distance 4; -1 where there are fewer."""
+    syndrome = LOW[word & 4095] ^ HIGH[word >> 12]
+    out = np.full((len(word), 6), -1, np.int64)
+    out[:, 0] = (word ^ ERROR[syndrome]) >> 11
+    far = WEIGHT[syndrome] == 3
+    out[far, 1:] = (word[far, None] ^ FOUR[syndrome[far]]) >> 11
+    return out
+
+
+def golay_keys(lanes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the pairs of segments."""
+    index = [indices((lanes[lane] >> np.uint64(start) & np.uint64((1 << 23) - 1)).astype(np.uint32)) for lane, start in SEGMENTS]
+    rows, keys = [], []
+    for k, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
+        a, b = index[i][:, :, None], index[j][:, None, :]
+        row, x, y = np.nonzero((a >= 0) & (b >= 0))
+        rows.append(row)
+        keys.append(k << 24 | index[i][row, x] << 12 | index[j][row, y])
+    return np.concatenate(rows), np.concatenate(keys).astype(np.int32)
+
+
+def _golay_keys_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            rows, fp0, fp1 = (batch.column(c).slice(k, 1000).to_numpy(zero_copy_only=False) for c in range(3))
+            at, keys = golay_keys((fp0.view(np.uint64), fp1.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp0[at]), pa.array(fp1[at]), pa.array(rows[at])], ["key", "fp0", "fp1", "row"])
+
+
+def spanning(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs at most CLOSE bits apart, a minimum spanning forest (by Prim's rule) and every one's NEAREST nearest; some come twice."""
+    n = len(fps)
+    matrix = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]) + np.bitwise_count(fps[:, None, 1] ^ fps[None, :, 1])
+    best, link = np.full(n, 255, np.uint8), np.zeros(n, np.int64)
+    done, at = np.zeros(n, bool), 0
+    a, b = [], []
+    for _ in range(n - 1):
+        done[at] = True
+        nearer = (matrix[at] < best) & ~done
+        best[nearer] = matrix[at][nearer]
+        link[nearer] = at
+        best[at] = 255
+        at = int(best.argmin())
+        if best[at] == 255:
+            break
+        if best[at] <= CLOSE:
+            a.append(at)
+            b.append(int(link[at]))
+    np.fill_diagonal(matrix, 255)
+    near = np.argpartition(matrix, NEAREST - 1, axis=1)[:, :NEAREST] if n > NEAREST + 1 else np.zeros((n, 0), np.int64)
+    x, y = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+    close = matrix[x, y] <= CLOSE
+    return np.concatenate((np.array(a, np.int64), x[close])), np.concatenate((np.array(b, np.int64), y[close]))
+
+
+def _golay_pairs_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp0, fp1, row) sorted by key and row; out: (a, b), pairs of rows, a > b."""
+
+    def pairs(keys: np.ndarray, fp0: np.ndarray, fp1: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        fps = np.stack((fp0.view(np.uint64), fp1.view(np.uint64)), axis=1)
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(keys)])))
+        few = np.repeat(sizes <= 8, sizes)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, min(8, int(sizes.max(initial=1)))):
+            same = np.flatnonzero((keys[d:] == keys[:-d]) & few[d:])
+            same = same[np.bitwise_count(fps[same] ^ fps[same + d]).sum(axis=1) <= CLOSE]
+            left.append(same)
+            right.append(same + d)
+        for s, n in zip(starts[sizes > 8], sizes[sizes > 8]):
+            for k in range(s, s + n, MATRIX):
+                a, b = spanning(fps[k : min(s + n, k + MATRIX)])
+                left.append(a + k)
+                right.append(b + k)
+        x, y = rows[np.concatenate(left)], rows[np.concatenate(right)]
+        both = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y))), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    held = [np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))]
+    for batch in batches:
+        held = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
+        if len(held[0]) > 200_000 and (cut := int(np.searchsorted(held[0], held[0][-1]))) > 0:
+            yield pairs(*(h[:cut] for h in held))
+            held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield pairs(*held)
+
+
 def _prints_udf(width: int, least: float, often):
-    """(row, size, digest, bits, sketch, prefix): of a text's set its size, digest, parities and first shingles; often: sorted shingles and their counts."""
+    """(row, size, digest, bits, sketch, prefix, fp0, fp1): of a text's set its size, digest, parities and first shingles, and its fingerprint; often: sorted shingles and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = often.value
         for batch in batches:
-            sets = [_hashes(t, width) for t in rows_of(batch, "text")]
+            texts = rows_of(batch, "text")
+            sets = [_hashes(t, width) for t in texts]
             prefixes = []
             for s in sets:
                 at = np.searchsorted(known, s)
@@ -89,8 +210,8 @@ def _prints_udf(width: int, least: float, often):
                 prefixes.append(s[np.argsort(count, kind="stable")[: len(s) - int(np.ceil(len(s) * least - SLACK)) + 1]])
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             bits = [np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).tobytes() for s in sets]
-            arrays = [pa.array(list(map(len, sets)), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, bits, list(map(sketch, sets)))), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "size", "digest", "bits", "sketch", "prefix"])
+            arrays = [pa.array(list(map(len, sets)), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, bits, list(map(sketch, sets)))), pa.array(prefixes, pa.list_(pa.int64())), *map(pa.array, fingerprints(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "size", "digest", "bits", "sketch", "prefix", "fp0", "fp1"])
 
     return run
 
@@ -219,7 +340,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, row_col: str, text_col: st
     sample = src.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).mapInArrow(_sets_udf(width), "row long, shingles array<long>").select(F.explode("shingles").alias("token"))
     often = sample.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(KNOWN).orderBy("token").toArrow()
     shared = spark.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("token", "n")))
-    schema = "row long, size long, digest binary, bits binary, sketch binary, prefix array<long>"
+    schema = "row long, size long, digest binary, bits binary, sketch binary, prefix array<long>, fp0 long, fp1 long"
     prints = scratch.save(src.mapInArrow(_prints_udf(width, least, shared), schema), "prints")
     equal = prints.groupBy("digest").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
     copies = scratch.save(prints.select("digest", F.col("row").alias("a")).join(equal, "digest").where("a > b").select("a", "b"), "copies")
@@ -231,9 +352,28 @@ def near_groups(spark: SparkSession, docs: DataFrame, row_col: str, text_col: st
     cut = keys.join(scratch.save(large, "large"), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    live = cells.select("token", "cell", "block", "size", "row", F.col("row").alias("root"), "bits")  # copies are out, so each is its own
     x, y = (prints.select(F.col("row").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+
+    def links_of(pairs: DataFrame, steps: Scratch) -> DataFrame:
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("a_size") + F.col("b_size")).alias("both"), "a_sketch", "b_sketch")
+        closer = steps.save(both.mapInArrow(_closer_udf(least), "a long, b long"), "closer")
+        involved = steps.save(closer.select(F.col("a").alias("row")).unionAll(closer.select(F.col("b").alias("row"))).distinct(), "involved")
+        sets = steps.save(src.join(involved, "row").select("row", "text").mapInArrow(_sets_udf(width), "row long, shingles array<long>"), "sets")
+        return steps.save(_verified(closer, sets, least), "links")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
     roots, whole, done = components(copies, Scratch(spark, "near")), False, 0
+    steps = Scratch(spark, "near")
+    golay = prints.select("row", "fp0", "fp1").join(copies.select(F.col("a").alias("row")), "row", "left_anti").mapInArrow(_golay_keys_udf, "key int, fp0 long, fp1 long, row long")
+    # dealt by the first segment's index, so that a pair's many keys mostly meet in one task, which gives it out once
+    found = golay.repartition(parts, F.shiftright("key", 12)).sortWithinPartitions("key", "row").mapInArrow(_golay_pairs_udf, "a long, b long")
+    links = links_of(steps.save(found.distinct(), "pairs"), steps)
+    if not links.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links), Scratch(spark, "near"))
+    steps.drop()
+    live = rooted(cells.select("token", "cell", "block", "size", "row", "bits")).select("token", "cell", "block", "size", "row", "root", "bits")
     while True:
         steps = Scratch(spark, "near")
         dealt = live.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "size")
@@ -241,11 +381,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, row_col: str, text_col: st
         pairs = steps.save(close.select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():  # no two groups are left that a pair could connect
             break
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("a_size") + F.col("b_size")).alias("both"), "a_sketch", "b_sketch")
-        closer = steps.save(both.mapInArrow(_closer_udf(least), "a long, b long"), "closer")
-        involved = steps.save(closer.select(F.col("a").alias("row")).unionAll(closer.select(F.col("b").alias("row"))).distinct(), "involved")
-        sets = steps.save(src.join(involved, "row").select("row", "text").mapInArrow(_sets_udf(width), "row long, shingles array<long>"), "sets")
-        links = steps.save(_verified(closer, sets, least), "links")
+        links = links_of(pairs, steps)
         linked = not links.isEmpty()
         if linked:
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links), Scratch(spark, "near"))
@@ -253,8 +389,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, row_col: str, text_col: st
             break
         # keys without a close pair of two groups have none later on
         keep = live.drop("root").join(steps.save(close.select("token").distinct(), "tokens"), "token", "left_semi")
-        rooted = keep.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        live = scratch.save(rooted.select("token", "cell", "block", "size", "row", "root", "bits"), f"live{done}")
+        live = scratch.save(rooted(keep).select("token", "cell", "block", "size", "row", "root", "bits"), f"live{done}")
         for name in ("close", "pairs", "closer", "involved", "sets", "links", "tokens"):
             steps.drop(name)
         if done:

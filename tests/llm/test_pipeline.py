@@ -91,6 +91,30 @@ def test_crowded_keys_lose_no_pair(spark, monkeypatch):
     assert groups(spark, rows) == want
 
 
+def test_golay_keys_come_first(spark, monkeypatch):
+    """Edited copies are linked by Golay keys alone; prefixes only have to find what fingerprints can't reach."""
+
+    def nothing(least, whole):
+        def run(batches):
+            for _ in batches:
+                yield from ()
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_candidates_udf", nothing)
+    rng = random.Random(3)
+    rows = [(i, " ".join(prose(rng, 200)), "a") for i in range(30)]
+    for k in range(30):
+        base = prose(rng, 250)
+        rows += [(100 + 10 * k + j, " ".join(changed(rng, base, 2)), "a") for j in range(3)]
+    want, got = exact_groups(rows), groups(spark, rows)
+    assert len(want) == 60 and set(got) <= set(want) and len(got) >= 57
+    many = np.random.default_rng(1).integers(0, 2**63, (40, 2)).astype(np.uint64)
+    many[20:] = many[:20] ^ np.uint64(1 << 7)
+    a, b = near_dedup.spanning(many)
+    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == {(i, i + 20) for i in range(20)}
+
+
 def test_appended_and_truncated_copies(spark):
     rng = random.Random(6)
     rows = []
