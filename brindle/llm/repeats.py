@@ -1,7 +1,7 @@
 """Removal of repeated passages: suffix-array dedup over the whole corpus.
 
 Every byte covered by a string of `least` bytes that also starts anywhere else is removed. Passages are
-counted beside that: runs of repeated strings of `short` bytes that have more than `words` words, as a passage
+counted beside that: runs of windows of `words` + 1 words that another document has too, as a passage
 of over fifty words often has less than 400 bytes. Sorting all suffixes of a corpus in one order is
 neither needed nor scalable: equal strings only have to meet.
 
@@ -18,13 +18,17 @@ neither needed nor scalable: equal strings only have to meet.
    anchor, and each part by what all its windows contain, down to single windows.
 4. Repeated windows return to their documents, which are cut.
 
+Windows of words take the same way: their anchors are grams of words, in the same lists (the lowest bit of a hash tells them
+apart), and their regions hold a 64-bit hash of each window instead of bytes. A task compares whole groups of an
+anchor's regions; the windows of an anchor with too many regions are counted one by one, by partial aggregates.
+
 Texts are written once, bucketed by row, so that both joins with them leave them in place.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,12 @@ POSITION_BITS = np.uint64(24)
 SORT_BYTES, GROUP_BYTES = 1_400_000, 512 << 10
 #: Offsets around an anchor that stay together when a group is split, and split again.
 SPLITS = (46, 6, 1)
+#: Window hashes that a task compares at once, and bytes of one anchor's different lists of them before they are counted one by one.
+COMPARED, LISTS_BYTES = 500_000, 256 << 10
+#: White space between words.
+BLANK = frozenset(b" \t\n\v\f\r")
+SOLID = np.array([k not in BLANK for k in range(256)])
+SPANS = "spans array<struct<a:long,b:long,length:long>>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,9 +61,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """64-bit hashes of the `gram` bytes from each position on, by doubling; gram is a power of two."""
-    h, width = _mix(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1
+SEED = np.uint64(0x9E3779B97F4A7C15)
+
+
+def doubled(h: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hashes of the `gram` items from each position on, from hashes of the items; gram is a power of two."""
+    width = 1
     while width < gram:
         if len(h) <= width:
             return np.zeros(0, np.uint64)
@@ -63,6 +76,63 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return _mix(h)
 
 
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Of the `gram` bytes from each position on."""
+    return doubled(_mix(data.astype(np.uint64) + SEED), gram)
+
+
+#: What a byte adds to the hash of its word at its first 64 places there.
+PLACED = _mix(np.arange(64 << 8, dtype=np.uint64) + SEED)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    solid = SOLID[data]
+    edge = np.concatenate(([False], solid, [False]))
+    start = np.flatnonzero(solid & (first[:-1] | ~edge[:-2]))
+    length = np.flatnonzero(solid & (first[1:] | ~edge[2:])) + 1 - start
+    upto = np.cumsum(length) - length
+    key = (np.arange(length.sum()) - np.repeat(upto, length)) << 8 | data[solid]
+    if not len(key):
+        return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+    each = PLACED[key] if length.max() <= 64 else _mix(key.astype(np.uint64) + SEED)
+    return np.searchsorted(start, offsets), _mix(np.add.reduceat(each, upto) + length.astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the rows in words, hash of each word). A row of more than `piece` bytes is hashed in pieces that end at a blank."""
+    if len(offsets) != 2 or len(data) <= piece:
+        return _word_hashes(data, offsets)
+    found, a = [], 0
+    while a < len(data):
+        b = min(len(data), a + piece)
+        while b < len(data) and SOLID[data[b : b + piece]].all():
+            b = min(len(data), b + piece)
+        b += int(np.argmin(SOLID[data[b : b + piece]])) if b < len(data) else 0
+        found.append(_word_hashes(data[a:b], np.array([0, b - a]))[1])
+        a = b
+    words = np.concatenate(found)
+    return np.array([0, len(words)]), words
+
+
+def word_gram(window: int) -> int:
+    """Words of an anchor: 8 in windows of 51."""
+    return 1 << (max(1, window // 6).bit_length() - 1)
+
+
+def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int, piece: int = PIECE) -> list[np.ndarray]:
+    """Of each row, hashes of the `window` words from each word on."""
+    out, half = [], 1 << (window.bit_length() - 1)
+    for i, j in runs(offsets):
+        at, words = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], piece)
+        h = doubled(words, half)
+        n = max(0, len(words) - window + 1)
+        h = _mix(h[:n] * np.uint64(0xD6E8FEB86659FD93) + h[window - half : window - half + n])
+        out += [h[a : max(a, b - window + 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have < width:
@@ -72,15 +142,15 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int = GRAM, hashes: Callable[[np.ndarray, int], np.ndarray] = gram_hashes) -> tuple[np.ndarray, ...]:
     """(row, hash, anchor, first, last): regions of window starts first..last, in positions of data."""
     empty = np.zeros(0, np.int64)
     length = np.diff(offsets)
     if len(data) < least or not (length >= least).any():
         return empty, empty, empty, empty, empty
-    h = gram_hashes(data)
+    h = hashes(data, gram)
     key = h >> POSITION_BITS << POSITION_BITS | np.arange(len(h), dtype=np.uint64)
-    low = sliding_minimum(key, least - GRAM + 1)
+    low = sliding_minimum(key, least - gram + 1)
     count = np.maximum(length - least + 1, 0)
     row = np.repeat(np.arange(len(length)), count)
     start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][row]
@@ -101,7 +171,9 @@ def _pieces(offsets: np.ndarray, least: int, piece: int = PIECE) -> Iterator[tup
                 yield i, j, k, min(b, k + piece + least - 1)
 
 
-def _anchors_udf(least: int, piece: int):
+def _anchors_udf(least: int, piece: int, window: int):
+    """window: words of a window, 0 for none. Hashes are even for windows of bytes and odd for windows of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -111,11 +183,21 @@ def _anchors_udf(least: int, piece: int):
                 inner = np.clip(offsets[i : j + 1], a, b) - a
                 row, h, *places = anchors(data[a:b], inner, least)
                 rows.append(row + i)
-                found[0].append(h)
+                found[0].append(h & ~1)
                 for column, place in zip(found[1:], places):
                     column.append(place + a - offsets[row + i])
-            lists = pa.array(np.searchsorted(np.concatenate(rows), np.arange(batch.num_rows + 1)), pa.int32())
-            arrays = [pa.ListArray.from_arrays(lists, pa.array(np.concatenate(x))) for x in found]
+            for i, j in runs(offsets) if window else ():
+                at, words = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], piece)
+                for k, m, a, b in _pieces(at, window, piece):
+                    row, h, *places = anchors(words[a:b], np.clip(at[k : m + 1], a, b) - a, window, word_gram(window), doubled)
+                    rows.append(row + k + i)
+                    found[0].append(h | 1)
+                    for column, place in zip(found[1:], places):
+                        column.append(place + a - at[row + k])
+            row = np.concatenate(rows)
+            order = np.argsort(row, kind="stable")
+            lists = pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(lists, pa.array(np.concatenate(x)[order])) for x in found]
             key = pa.array((part << 40) + np.arange(nth, nth + batch.num_rows))
             text = pa.array(rows_of(batch, "text"), pa.binary())
             yield pa.RecordBatch.from_arrays([key, batch.column(0), text, *arrays], ["row", "id", "text", "h", "at", "first", "last"])
@@ -128,17 +210,18 @@ def _digest(region: bytes, windows: int) -> bytes:
     return xxhash.xxh3_128_digest(b"%d " % windows + region)
 
 
-def _regions_udf(least: int):
-    """Cuts regions; of equal ones in a batch only one carries its bytes."""
+def _regions_udf(least: int, window: int, piece: int):
+    """Cuts regions; of equal ones in a batch only one carries its bytes (those of its windows' hashes, where windows are of words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hashes, digests, starts, centers, windows, regions = [], [], [], [], [], [], []
             seen = set()
-            for row, text, found in zip(batch.column(0).to_pylist(), rows_of(batch, "text"), batch.column(2).to_pylist()):
+            of_words = window_hashes(*buffer(batch.column(1)), window, piece) if window else [None] * batch.num_rows
+            for row, text, hashed, found in zip(batch.column(0).to_pylist(), rows_of(batch, "text"), of_words, batch.column(2).to_pylist()):
                 for item in found:
-                    region = text[item["first"] : item["last"] + least]
                     n = item["last"] - item["first"] + 1
+                    region = hashed[item["first"] : item["last"] + 1].tobytes() if item["h"] & 1 else text[item["first"] : item["last"] + least]
                     d = _digest(region, n)
                     key = (item["h"], d)
                     rows.append(row)
@@ -253,7 +336,71 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-BLANK = frozenset(b" \t\n\v\f\r")
+def _windows(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many of each list)."""
+    return np.frombuffer(b"".join(lists), np.uint64), np.array([len(x) // 8 for x in lists])
+
+
+def _shared_udf(compared: int):
+    """Rows (h, d, low, high, region) sorted by h: distinct lists of window hashes, with the first and the last row that has them.
+    Out: (h, d, spans), runs of windows that two rows or more have; their length is 0."""
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        w, n = _windows([r[4] for r in held])
+        order = np.argsort(w)
+        head = np.concatenate(([True], w[order][1:] != w[order][:-1]))
+        low, high = (np.repeat(np.array([r[k] for r in held]), n)[order] for k in (2, 3))
+        start = np.flatnonzero(head)
+        shared = np.empty(len(w), bool)
+        shared[order] = (np.minimum.reduceat(low, start) < np.maximum.reduceat(high, start))[np.cumsum(head) - 1]
+        ends, rows = np.cumsum(n), []
+        for k in np.flatnonzero(np.add.reduceat(shared, ends - n)).tolist():
+            rows.append((held[k][0], held[k][1], [{"a": a, "b": b, "length": 0} for a, b in _spans(shared[ends[k] - n[k] : ends[k]])]))
+        lists = pa.array([r[2] for r in rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("length", pa.int64())])))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), lists], ["h", "d", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if size > compared and row[0] != held[-1][0]:
+                    yield solve(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4]) // 8
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def _windows_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, d, low, high, region) -> (h, d, low, high, k, w), one row a window."""
+    for batch in batches:
+        w, n = _windows(batch.column(4).to_pylist())
+        row = pa.array(np.repeat(np.arange(batch.num_rows), n))
+        k = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(4)), pa.array(k), pa.array(w.view(np.int64))], ["h", "d", "low", "high", "k", "w"])
+
+
+def _shared(spark: SparkSession, scratch: Scratch, regions: DataFrame) -> DataFrame:
+    """(h, d, spans): in each distinct list of windows of words, those that two rows or more have. regions: (row, h, d, region)."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = regions.groupBy("h", "d").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.first("region", ignorenulls=True).alias("region"))
+    lists = scratch.save(lists, "lists")
+    groups = lists.groupBy("h").agg(F.sum(F.length("region")).alias("bytes"))
+    large = scratch.save(groups.where(F.col("bytes") > LISTS_BYTES).select("h"), "common")
+    split = not large.isEmpty()
+    rows = (lists.join(large, "h", "left_anti") if split else lists).select("h", "d", "low", "high", "region")
+    found = rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared_udf(COMPARED), f"h long, d binary, {SPANS}")
+    if split:
+        rows = lists.join(large, "h", "left_semi").select("h", "d", "low", "high", "region")
+        windows = scratch.save(rows.mapInArrow(_windows_udf, "h long, d binary, low long, high long, k long, w long"), "windows")
+        shared = windows.groupBy("h", "w").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h", "w")
+        span = F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"), F.lit(0).cast("long").alias("length"))
+        back = windows.select("h", "d", "k", "w").join(scratch.save(shared, "shared").hint("merge"), ["h", "w"])
+        found = found.unionAll(back.groupBy("h", "d").agg(F.collect_list(span).alias("spans")))  # at most the windows around an anchor
+    return scratch.save(found, "passages")
 
 
 def whole_words(text: bytes, a: int, b: int) -> int:
@@ -262,7 +409,16 @@ def whole_words(text: bytes, a: int, b: int) -> int:
     return max(0, len(text[a:b].split()) - cut)
 
 
-def _cut_udf(least: int, words: int, with_text: bool):
+def _stretches(spans: list[tuple[int, int]], window: int) -> int:
+    """Maximal runs of words under windows that start at a to b; those that overlap or touch are one."""
+    n, end = 0, -1
+    for a, b in sorted(spans):
+        n += a > end
+        end = max(end, b + window)
+    return n
+
+
+def _cut_udf(least: int, words: int, window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
@@ -271,7 +427,10 @@ def _cut_udf(least: int, words: int, with_text: bool):
                 gone = _joined([(a, b) for a, b, n in found if n == least])
                 edges = [0, *(x for span in gone for x in span), len(text)]
                 rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                passages = sum(whole_words(text, a, b) > words for a, b in _joined([(a, b) for a, b, _ in found]))
+                if window:
+                    passages = _stretches([(a, b) for a, b, n in found if not n], window)
+                else:
+                    passages = sum(whole_words(text, a, b) > words for a, b in _joined([(a, b) for a, b, _ in found]))
                 for column, value in zip(out, (len(text), len(text) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), passages, rest)):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
@@ -293,8 +452,7 @@ def _repeats(spark: SparkSession, scratch: Scratch, distinct: DataFrame, lengths
     else:
         large = None
     rows = direct.select("h", "d", "copies", "windows", "region").repartition(parts, "h").sortWithinPartitions("h")
-    spans = "spans array<struct<a:long,b:long,length:long>>"
-    found = scratch.save(rows.mapInArrow(_expand_udf(tuple(sorted(set(lengths)))), f"h long, d binary, {spans}"), f"spans{level}")
+    found = scratch.save(rows.mapInArrow(_expand_udf(tuple(sorted(set(lengths)))), f"h long, d binary, {SPANS}"), f"spans{level}")
     if large is None:
         return found
     split = distinct.join(large, "h", "left_semi").select("h", "d", "copies", "center", "windows", "region")
@@ -308,16 +466,18 @@ def _repeats(spark: SparkSession, scratch: Scratch, distinct: DataFrame, lengths
     return scratch.save(found.unionAll(joined), f"all{level}")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, words: int = 50, short: int = 320, with_text: bool = False, piece: int = PIECE) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, words: int = 50, short: int | None = None, with_text: bool = False, piece: int = PIECE) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with_text the kept bytes.
 
     Texts are UTF-8 bytes, null is empty, matches stay within a document but may lie in the same one and
-    overlap. Strings are judged on the input: all copies go, also the first. n_passages counts the maximal runs
-    covered by repeated strings of `short` bytes that have more than `words` whole words; they aren't removed as such.
+    overlap. Strings are judged on the input: all copies go, also the first. n_passages counts the maximal runs of words
+    under windows of `words` + 1 words that another row has too, whatever white space lies between; with `short`, the maximal runs
+    covered by repeated strings of so many bytes, in any row, that have more than `words` whole words. They aren't removed as such.
     Windows of a text of more than `piece` bytes are found a piece at a time, which changes no result. Rows that repeat an id are
     documents of their own. Texts shorter than `least` bytes stay whole. Kept bytes may start or end within a
     character, as spans are judged by bytes.
     """
+    window, short = (words + 1, least) if short is None else (0, short)
     if not 2 * GRAM <= short <= least:
         raise ValueError(f"short is {2 * GRAM} bytes or more, and least no less")
     bound_batches(spark)
@@ -325,17 +485,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     lists = "h array<long>, at array<long>, first array<long>, last array<long>"
-    texts = scratch.bucketed(src.mapInArrow(_anchors_udf(short, piece), f"row long, id {kind}, text binary, {lists}"), "texts", "row", parts)
-    occurs = texts.select("row", F.explode(F.arrays_zip("h", "at", "first", "last")).alias("x")).select("row", F.col("x.h").alias("h"), "x")
+    texts = scratch.bucketed(src.mapInArrow(_anchors_udf(short, piece, window), f"row long, id {kind}, text binary, {lists}"), "texts", "row", parts)
+    occurs = texts.select("row", F.explode(F.arrays_zip("h", "at", "first", "last")).alias("x")).select("row", "x.*")
     again = scratch.save(occurs.groupBy("h").count().where("count > 1").select("h"), "again")
-    wanted = occurs.join(again.hint("merge"), "h").groupBy("row").agg(F.collect_list("x").alias("found"))  # at most a document's regions
+    wanted = occurs.join(again.hint("merge"), "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "first", "last")).alias("found"))  # at most a document's regions
     cut = texts.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("row", "text", "found")
-    regions = scratch.save(cut.mapInArrow(_regions_udf(least), "row long, h long, d binary, start long, center long, windows long, region binary"), "regions")
-    merged = regions.groupBy("h", "d").agg(F.count("*").alias("copies"), F.min("center").alias("center"), F.first("windows").alias("windows"), F.first("region", ignorenulls=True).alias("region"))
+    regions = scratch.save(cut.mapInArrow(_regions_udf(least, window, piece), "row long, h long, d binary, start long, center long, windows long, region binary"), "regions")
+    of_words = F.col("h").bitwiseAND(1) == 1
+    merged = regions.where(~of_words).groupBy("h", "d").agg(F.count("*").alias("copies"), F.min("center").alias("center"), F.first("windows").alias("windows"), F.first("region", ignorenulls=True).alias("region"))
     spans = _repeats(spark, scratch, scratch.save(merged, "distinct"), (short, least))
+    if window:
+        spans = spans.unionAll(_shared(spark, scratch, regions.where(of_words).select("row", "h", "d", "region")))
     hits = regions.select("row", "h", "d", "start").join(spans.hint("merge"), ["h", "d"]).select("row", "start", F.explode("spans").alias("s"))
     removed = hits.select("row", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b") - 1 + F.col("s.length")).alias("b"), F.col("s.length").alias("length")).alias("span"))
     found = removed.groupBy("row").agg(F.collect_list("span").alias("found"))
     full = texts.select("row", "id", "text").join(found.hint("shuffle_hash"), "row", "left").select("id", "text", "found")
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * with_text
-    return full.mapInArrow(_cut_udf(least, words, with_text), schema).withColumnRenamed("id", id_col)
+    return full.mapInArrow(_cut_udf(least, words, window, with_text), schema).withColumnRenamed("id", id_col)

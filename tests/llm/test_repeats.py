@@ -99,6 +99,61 @@ def test_passages_of_less_than_400_bytes(spark):
     assert got == {i: (0, int(i < 3)) for i in range(7)}
 
 
+def slow_shared(rows, window):
+    """Maximal runs of words under windows that occur in two rows or more."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    holders = Counter(x for w in words for x in {tuple(w[k : k + window]) for k in range(len(w) - window + 1)})
+    out = []
+    for (i, _), w in zip(rows, words):
+        under = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if holders[tuple(w[k : k + window])] > 1:
+                under[k : k + window] = [True] * window
+        out.append((i, sum(u and not (k and under[k - 1]) for k, u in enumerate(under))))
+    return sorted(out, key=str)
+
+
+def check_shared(spark, rows, words, **more):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_passages) for r in remove_repeats(spark, df, words=words, **more).collect()), key=str)
+    assert got == slow_shared(rows, words + 1)
+    return dict(got)
+
+
+def test_passages_across_documents(spark):
+    """Passages of 51 short words (below 256 bytes) count, one of 50 doesn't, nor one that repeats in its own document only; white space doesn't matter."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    passage, brief, own = prose(51), prose(50), prose(120)
+    assert len(passage) < 256 and len(own) > 400
+    rows = [(1, f"{prose(90)} {passage} {prose(40)}"), (2, f"{prose(30)}\n{passage.replace(' ', chr(10), 3)}\t{prose(9)} {passage}"), (3, f"{brief} {prose(20)}")]
+    rows += [(4, f"{prose(20)} {brief}"), (5, f"{own} {prose(30)} {own}"), (6, prose(300)), (7, None)]
+    assert check_shared(spark, rows, 50) == {1: 1, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
+@pytest.mark.parametrize("words", [2, 9])
+def test_shared_windows(spark, monkeypatch, words):
+    check_shared(spark, fixture(4), words)
+    long = " ".join(t or "" for _, t in fixture(5))
+    check_shared(spark, [*fixture(4), (70, long), (71, long[300:900])], words, piece=700)
+    monkeypatch.setattr(repeats, "LISTS_BYTES", 30)  # nearly all windows are counted one by one
+    check_shared(spark, fixture(4), words)
+
+
+def test_shared_windows_of_the_small_table(spark, sf_dir):
+    check_shared(spark, [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()], 50)
+
+
+def test_word_hashes_in_pieces():
+    text = (b"ab  c " + b"x" * 90 + b"\n\n" + "é ü".encode()) * 40 + b"y" * 300
+    data = repeats.np.frombuffer(text, repeats.np.uint8)
+    whole = repeats.word_hashes(data, repeats.np.array([0, len(text)]))[1]
+    words = text.split()
+    assert len(whole) == len(words) and len(set(zip(whole.tolist(), words))) == len(set(words)) == len(set(whole.tolist()))
+    for piece in (7, 64, 1000):
+        assert (repeats.word_hashes(data, repeats.np.array([0, len(text)]), piece)[1] == whole).all()
+
+
 def test_whole_small_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
     check(spark, rows, 400, 320)
