@@ -2,14 +2,16 @@
 
 Texts become idf-weighted shares of byte n-grams and of two terms for repetition (words equal to the one
 before, lines seen before), projected on the leading singular vectors
-of a bounded labelled sample (`per_label` rows of each label) and normalised. The sample's vectors
-and the projection are broadcast: their size is fixed by the parameters. Every document's cosines to
+of a bounded labelled sample (`per_label` rows of each label) and normalised. One task fits the model, so the
+driver never holds the sample's texts and counts; the sample's vectors
+and the projection go through it and are broadcast: their size is fixed by the parameters. Every document's cosines to
 all labelled vectors are computed exactly, a block of documents at a time; the `neighbours` nearest
 vote with their similarity, each label scaled back to its share among the labelled rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -101,6 +103,17 @@ def fit(texts: list[str | None], labels: list[int], prior: float, dim: int = 48,
     return model
 
 
+def _fit_udf(prior: float):
+    """Rows (text, quality), all in one task; out: the model, pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = in_order([row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
+        model = fit([r[0] for r in rows], [r[1] for r in rows], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
+
+
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_label: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, the columns of keep, score (0 to 1, higher: label 1 likelier), predicted.
 
@@ -113,8 +126,10 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     usable = labels.where("quality in (0, 1)").select(id_col, "quality")
     share = usable.agg(F.avg("quality")).first()[0]
     chosen = sample(usable, "quality", per_label, id_col)
-    rows = in_order(docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("text", "quality").collect())
-    model = fit([r[0] for r in rows], [r[1] for r in rows], 0.5 if share is None else float(share))
+    prior = 0.5 if share is None else float(share)
+    rows = docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("text", "quality").repartition(1)
+    fitted = rows.mapInArrow(_fit_udf(prior), "model binary").first()
+    model = fit([], [], prior) if fitted is None else pickle.loads(fitted[0])
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

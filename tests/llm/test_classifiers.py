@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,3 +128,17 @@ def test_quality_edges(spark):
     assert len(got) == 44 and all(by[i].predicted == i % 2 for i in range(40)) and 0 <= by[40].score <= 1
     assert quality_scores(spark, docs.limit(0), labels).collect() == []
     assert {r.score for r in quality_scores(spark, docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_fit_is_off_the_driver(spark):
+    """The driver gets the fitted model (about 3 MB), not the sample's counts (20 MB for 600 rows)."""
+    docs = spark.createDataFrame([(i, ("clean text here " if i % 2 else "$$$ ### !!! ") * (1 + i % 7)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        scored = quality_scores(spark, docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12_000_000
+    assert all(r.predicted == r.doc_id % 2 for r in scored.collect())
